@@ -15,7 +15,6 @@ from caseloom.operators import cases as C
 from caseloom.operators import evidence as E
 from caseloom.session import stage
 
-PACKET_COLUMNS = schemas.schema("case_packet").fieldNames()
 
 # Groups of the JSON form, as output name -> packet column.
 _PARTY = (
@@ -144,7 +143,7 @@ class CaseFrames:
             E.supporting_list(self.supporting_transactions),
         ]
         joined = reduce(lambda left, side: left.join(side, CASE_KEY, "left"), sides, self.case_party)
-        return with_case_id(joined).select(*PACKET_COLUMNS)
+        return with_case_id(joined).select(*schemas.schema("case_packet").fieldNames())
 
     @cached_property
     def further_alerts(self) -> DataFrame:

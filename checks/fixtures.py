@@ -85,6 +85,15 @@ WHERE o_totalprice>=250000""",
 SELECT concat('D',doc_id) AS doc_id, 'v1' AS version,
   {headed_text} AS text
 FROM documents""",
+    "fx_files": """
+SELECT concat('/corpus/',source,'/D',doc_id, CASE WHEN source='src7' THEN '.html'
+  WHEN lang='en' THEN '__v2.md' WHEN lang='de' THEN '.TXT' WHEN lang='fr' THEN '__v1__v3.markdown'
+  ELSE '.notes.Md' END) AS path, text
+FROM documents""",
+    "fx_amended_docs": """
+SELECT p.doc_id, p.version,
+  concat(p.text,chr(10),'## Amendment',chr(10),'Reviewed text of ',p.doc_id) AS text
+FROM fx_policy_docs p JOIN documents d ON p.doc_id=concat('D',d.doc_id) WHERE d.lang='en'""",
     "fx_responses": """
 SELECT concat('E',event_id) AS case_id, CASE WHEN event_id%8=1 THEN '{{bad'
   WHEN event_id%8=2 THEN '{{}}' ELSE concat(
@@ -140,8 +149,9 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in TABLES:
         if t in FIXTURES[name]:
             table(spark, sf_dir, t).createOrReplaceTempView(t)
-    if "fx_transactions" in FIXTURES[name]:
-        fixture(spark, sf_dir, "fx_transactions").createOrReplaceTempView("fx_transactions")
+    for needed in FIXTURES:
+        if needed in FIXTURES[name]:
+            fixture(spark, sf_dir, needed).createOrReplaceTempView(needed)
     return spark.sql(fixture_sql(name, SPARK_SPELLING))
 
 
