@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from caseloom import schemas
-from caseloom.session import stage
+from caseloom.session import spread, stage
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
+# Tables whose rows take long to process: whole texts and JSON.
+HEAVY = ("documents", "events", "embeddings")
+
 _INSTRUMENT = """CASE substr(o_orderpriority,1,1) WHEN '1' THEN 'wires' WHEN '2' THEN 'cash'
     WHEN '3' THEN 'credit_cards' WHEN '4' THEN 'loans' ELSE 'ngi' END"""
 
@@ -141,7 +144,8 @@ def fixture_sql(name: str, spelling: dict[str, str]) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -168,6 +172,6 @@ def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             df = fixture(spark, sf_dir, f"fx_{name}")
             types = {f.name: f.dataType for f in schemas.schema(name)}
             typed = df.select(*[df[c].cast(t).alias(c) for c, t in types.items()])
-            staged[name] = stage(typed, f"input-{name}")
+            staged[name] = stage(spread(typed), f"input-{name}")
         _STAGED[key] = staged
     return _STAGED[key]

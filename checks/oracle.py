@@ -292,17 +292,9 @@ FROM m_short t LEFT JOIN fx_merchants m ON t.merchant_id=m.merchant_id""",
   CAST(row_number() OVER (PARTITION BY case_id ORDER BY ts DESC NULLS LAST, txn_id DESC)-1 AS INT) AS place
 FROM support_short""",
     "case_packet": "SELECT * FROM packet_full",
-    "case_packet_json": """SELECT case_id, party_id, industry, expected_avg_txn_usd,
-  case_window_end_ms_utc AS end_ms_utc, alerts_count,
-  '["'||replace(scenario_codes,',','","')||'"]' AS scenario_codes,
-  split_part(alerts,',',1) AS first_alert_id, txn_count_case, amount_total_usd_case AS total_usd,
-  split_part(top_counterparties,',',1) AS first_counterparty, split_part(top_merchants,',',1) AS first_merchant,
-  split_part(supporting_transactions,',',1) AS first_txn,
-  CAST(len(string_split(alerts,',')) AS INT) AS alerts,
-  CAST(coalesce(len(string_split(top_counterparties,',')),0) AS INT) AS counterparties,
-  CAST(coalesce(len(string_split(top_merchants,',')),0) AS INT) AS merchants,
-  CAST(coalesce(len(string_split(supporting_transactions,',')),0) AS INT) AS transactions
-FROM packet_full""",
+    "case_packet_json": """SELECT case_id AS row_id, case_id, party_id, industry, expected_avg_txn_usd,
+  case_window_end_ms_utc AS end_ms_utc, alerts_count, scenario_codes, alerts, txn_count_case,
+  amount_total_usd_case, top_counterparties, top_merchants, supporting_transactions FROM packet_full""",
     "triage_queue": "SELECT * FROM queue",
     "triage_page": """SELECT *, (SELECT count(*) FROM cases) AS total FROM queue
 WHERE position>=25 AND position<525""",
@@ -344,10 +336,11 @@ FROM all_hits JOIN unique_chunks USING (chunk_id)""",
 FROM fx_policy_docs o LEFT JOIN fx_amended_docs n ON o.doc_id=n.doc_id AND o.version=n.version
 UNION ALL SELECT 'chunk', doc_id, chunk_id, sha256(text)
 FROM (SELECT * FROM chunks UNION SELECT * FROM amended_chunks)""",
-    "copilot_prompts": """SELECT f.case_id, f.party_id, f.alerts_count, CAST(f.alerts_count AS INT) AS alerts,
-  5 AS passages, h.chunk_id AS first_chunk, c.doc_id AS last_doc, 9 AS required_fields, 'v1' AS prompt_version
-FROM alert_figures f JOIN case_hits h ON h.query_id=f.case_id AND h.rank=1
-JOIN case_hits l ON l.query_id=f.case_id AND l.rank=5 JOIN unique_chunks c ON c.chunk_id=l.chunk_id""",
+    "copilot_prompts": """SELECT f.case_id, 'v1' AS prompt_version, f.party_id, f.alerts_count,
+  CAST(f.alerts_count AS INT) AS alerts, chunks, documents, 9 AS required_fields
+FROM alert_figures f JOIN (SELECT query_id, string_agg(chunk_id,',' ORDER BY rank) AS chunks,
+    string_agg(doc_id,',' ORDER BY rank) AS documents
+  FROM case_hits JOIN unique_chunks USING (chunk_id) GROUP BY query_id) h ON h.query_id=f.case_id""",
     "copilot_validation": """SELECT 'E'||event_id AS case_id, CASE event_id%8
   WHEN 1 THEN 'LLM output is not valid JSON' WHEN 2 THEN 'LLM output missing required fields'
   WHEN 3 THEN 'LLM output failed JSON schema validation' WHEN 4 THEN 'LLM output failed JSON schema validation'

@@ -289,32 +289,26 @@ def case_packet(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def case_packet_json(spark: SparkSession, sf: str) -> DataFrame:
     text = packet_json(frames(spark, sf, Limits(), staged=True).packet)
-
-    def at(path: str) -> Column:
-        return F.get_json_object("case_packet_json", f"$.{path}")
-
-    def items(path: str) -> Column:
-        return F.coalesce(F.json_array_length(at(path)), F.lit(0))
-
-    return text.select(
-        "case_id",
-        at("party.party_id").alias("party_id"),
-        at("party.industry").alias("industry"),
-        at("party.expected_avg_txn_usd").cast("double").alias("expected_avg_txn_usd"),
-        at("window.end_ms_utc").cast("bigint").alias("end_ms_utc"),
-        at("alerts_summary.alerts_count").cast("bigint").alias("alerts_count"),
-        at("alerts_summary.scenario_codes").alias("scenario_codes"),
-        at("alerts[0].alert_id").alias("first_alert_id"),
-        at("tx_summary.txn_count_case").cast("bigint").alias("txn_count_case"),
-        F.round(at("tx_summary.amount_total_usd_case").cast("double"), 6).alias("total_usd"),
-        at("top_counterparties[0].counterparty_id").alias("first_counterparty"),
-        at("top_merchants[0].merchant_id").alias("first_merchant"),
-        at("supporting_transactions[0].txn_id").alias("first_txn"),
-        items("alerts").alias("alerts"),
-        items("top_counterparties").alias("counterparties"),
-        items("top_merchants").alias("merchants"),
-        items("supporting_transactions").alias("transactions"),
-    )
+    # The text is read back in one pass.
+    shape = """case_id STRING, party STRUCT<party_id: STRING, industry: STRING, expected_avg_txn_usd: DOUBLE>,
+        window STRUCT<end_ms_utc: BIGINT>,
+        alerts_summary STRUCT<alerts_count: BIGINT, scenario_codes: ARRAY<STRING>>,
+        alerts ARRAY<STRUCT<alert_id: STRING>>,
+        tx_summary STRUCT<txn_count_case: BIGINT, amount_total_usd_case: DOUBLE>,
+        top_counterparties ARRAY<STRUCT<counterparty_id: STRING>>,
+        top_merchants ARRAY<STRUCT<merchant_id: STRING>>,
+        supporting_transactions ARRAY<STRUCT<txn_id: STRING>>"""
+    read = text.select("case_id", F.from_json("case_packet_json", shape).alias("read"))
+    return read.select(F.col("case_id").alias("row_id"), "read.*").select(
+        "row_id", "case_id", "party.*", "window.*", "alerts_summary.alerts_count",
+        F.array_join("alerts_summary.scenario_codes", ",").alias("scenario_codes"),
+        _ids("alerts", "alert_id"),
+        "tx_summary.txn_count_case",
+        F.round("tx_summary.amount_total_usd_case", 6).alias("amount_total_usd_case"),
+        _ids("top_counterparties", "counterparty_id"),
+        _ids("top_merchants", "merchant_id"),
+        _ids("supporting_transactions", "txn_id"),
+    )
 
 
 # --- queue and views ----------------------------------------------------------------
@@ -495,19 +489,21 @@ def copilot_prompts(spark: SparkSession, sf: str) -> DataFrame:
     queries = policy.case_queries(packets).withColumnRenamed("case_id", "query_id")
     prompts = review.prompts(packets, policy.passages(queries, _policy_index(spark, sf)))
 
-    def at(path: str) -> Column:
-        return F.get_json_object("user_message", f"$.{path}")
-
-    return prompts.select(
+    shape = """case_packet STRUCT<party_id: STRING, alerts_count: BIGINT, alerts: ARRAY<STRING>>,
+        policy_passages ARRAY<STRUCT<chunk_id: STRING, doc_id: STRING>>,
+        schema STRUCT<required: ARRAY<STRING>>"""
+    read = prompts.select(
+        "case_id", "prompt_version", F.from_json("user_message", shape).alias("read")
+    )
+    return read.select("case_id", "prompt_version", "read.*").select(
         "case_id",
-        at("case_packet.party_id").alias("party_id"),
-        at("case_packet.alerts_count").cast("bigint").alias("alerts_count"),
-        F.json_array_length(at("case_packet.alerts")).alias("alerts"),
-        F.json_array_length(at("policy_passages")).alias("passages"),
-        at("policy_passages[0].chunk_id").alias("first_chunk"),
-        at("policy_passages[4].doc_id").alias("last_doc"),
-        F.json_array_length(at("schema.required")).alias("required_fields"),
         "prompt_version",
+        "case_packet.party_id",
+        "case_packet.alerts_count",
+        F.size("case_packet.alerts").alias("alerts"),
+        F.array_join("policy_passages.chunk_id", ",").alias("chunks"),
+        F.array_join("policy_passages.doc_id", ",").alias("documents"),
+        F.size("schema.required").alias("required_fields"),
     )
 
 
