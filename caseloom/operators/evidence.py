@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from caseloom.functions.cases import CASE_KEY
 from caseloom.operators import cases as C
@@ -97,31 +96,27 @@ def supporting_transactions(
     return top_n(detailed, CASE_KEY, [*recent_first, F.col("txn_id").asc()], n)
 
 
-def alert_positions(alerts: DataFrame, page: int = ALERT_PAGE) -> DataFrame:
-    """Alerts numbered from 0 within their case, latest first.
+def alert_pages(alerts: DataFrame, page: int = ALERT_PAGE) -> DataFrame:
+    """Alert lists, latest first, in pages: page 0 goes into the packet, later ones
+    beside it.
 
-    Cases of up to ``page`` alerts are numbered by a window.  Larger cases, if a
-    count finds any, are numbered by a range sort that spreads one case over many
-    tasks.
+    Cases of up to ``page`` alerts are one page each.  If a count finds larger
+    ones, their alerts are numbered by a range sort that spreads one case over
+    many tasks, and are collected page by page.
     """
-    order = [F.col(c).desc() for c in ("alert_timestamp_ms_utc", *ALERT_DETAILS)]
-    numbered = F.row_number().over(Window.partitionBy(*CASE_KEY).orderBy(*order)) - 1
-    crowded = alerts.groupBy(*CASE_KEY).count().where(F.col("count") > page).select(*CASE_KEY)
-    if crowded.isEmpty():
-        return alerts.withColumn("position", numbered)
-    usual = alerts.join(crowded, CASE_KEY, "left_anti").withColumn("position", numbered)
-    large = alerts.join(crowded, CASE_KEY, "left_semi")
-    return usual.unionByName(with_position(large, CASE_KEY, order))
+    latest_first = F.sort_array(F.collect_list(_alert_item()), asc=False).alias("alerts")
 
+    def single(df: DataFrame) -> DataFrame:
+        return df.groupBy(*CASE_KEY).agg(latest_first).withColumn("page", F.lit(0))
 
-def alert_pages(alerts: DataFrame, page: int = ALERT_PAGE) -> DataFrame:
-    """Alert lists in pages: page 0 goes into the packet, later ones beside it."""
-    return (
-        alert_positions(alerts, page)
-        .withColumn("page", F.floor(F.col("position") / page).cast("int"))
-        .groupBy(*CASE_KEY, "page")
-        .agg(ordered_list("position", _alert_item()).alias("alerts"))
-    )
+    crowded = alerts.groupBy(*CASE_KEY).count().where(F.col("count") > page).select(*CASE_KEY)
+    if crowded.isEmpty():
+        return single(alerts)
+    order = [F.col(c).desc() for c in ("alert_timestamp_ms_utc", *ALERT_DETAILS)]
+    numbered = with_position(alerts.join(crowded, CASE_KEY, "left_semi"), CASE_KEY, order)
+    paged = numbered.withColumn("page", F.floor(F.col("position") / page).cast("int"))
+    large = paged.groupBy(*CASE_KEY, "page").agg(latest_first)
+    return single(alerts.join(crowded, CASE_KEY, "left_anti")).unionByName(large)
 
 
 def ordered_list(rank: str, item: Column) -> Column:

@@ -28,7 +28,8 @@ def run(
     write_by_case(frames.packet, f"{out}/case_packet")
     packet = read_dataset(spark, out, "case_packet")
     write_by_case(packet_json(packet), f"{out}/case_packet_json")
-    write_by_case(frames.further_alerts, f"{out}/case_further_alerts")
+    # Pages of one case are many and large, so they stay spread as they are.
+    frames.further_alerts.write.mode("overwrite").parquet(f"{out}/case_further_alerts")
     write_by_case(frames.timeline_daily, f"{out}/tx_timeline_daily")
     numbered_queue(packet).write.mode("overwrite").parquet(f"{out}/case_queue")
 

@@ -1,0 +1,118 @@
+"""Files: dialect, globs, headers, corpus, contract."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from caseloom import schemas
+from caseloom.plans import daily
+from caseloom.session import build_session, scratch_root
+from caseloom.sources import contract, corpus, datasets
+from tests.rows import alert, inputs, txn
+
+
+def write(path, text):
+    path.write_text(text, encoding="utf-8")
+    return str(path)
+
+
+def test_csv_dialect(spark, tmp_path):
+    path = write(
+        tmp_path / "merchants.csv",
+        'merchant_id,merchant_name,merchant_category,country,state\n'
+        ' M1 ,"A ""quoted"", name", food ,US,\n'
+        'M2,"",x,US,""\n',
+    )
+    rows = datasets.read_csv(spark, path, schemas.schema("merchants")).collect()
+    assert tuple(rows[0]) == ("M1", 'A "quoted", name', "food", "US", None)
+    assert rows[1].merchant_name is None and rows[1].state is None
+
+
+def test_bad_number_fails(spark, tmp_path):
+    header = ",".join(schemas.schema("parties").fieldNames())
+    path = write(tmp_path / "p.csv", f"{header}\nP1,business,n,,US,,2020-01-01,lots,1.0,low\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|lots"):
+        datasets.read_csv(spark, path, schemas.schema("parties")).collect()
+
+
+def test_header_check_is_optional(spark, tmp_path):
+    path = write(tmp_path / "c.csv", "counterparty_id,country,counterparty_type\nC1,US,business\n")
+    by_position = datasets.read_csv(spark, path, schemas.schema("counterparties"))
+    assert by_position.first().counterparty_type == "US"
+    with pytest.raises(Exception, match="header|CSV"):
+        datasets.read_csv(spark, path, schemas.schema("counterparties"), match_header=True).collect()
+
+
+def test_unknown_schema():
+    with pytest.raises(KeyError, match="no schema"):
+        schemas.schema("nothing")
+
+
+def test_csv_to_datasets(spark, tmp_path):
+    given = inputs(
+        spark,
+        transactions=[txn("x", ts=5), txn("y", ts=6, currency="EUR")],
+        alerts=[alert("1", supporting_txn_ids="x|q"), alert("2", model_type="wires")],
+        parties=[{"party_id": "P1", "party_name": 'Na"me, Inc', "party_type": "business"}],
+        counterparties=[{"counterparty_id": "C1", "counterparty_type": "business"}],
+        merchants=[{"merchant_id": "M1"}],
+    )
+    base = str(tmp_path / "in")
+    for name, df in given.items():
+        if name != "alerts":
+            datasets.write_csv(df.coalesce(1), f"{base}/{name}.csv")
+    for model in ("cash", "wires"):
+        datasets.write_csv(
+            given["alerts"].where(F.col("model_type") == model), f"{base}/alerts_{model}.csv"
+        )
+    out = str(tmp_path / "out")
+    daily.run(spark, datasets.read_inputs(spark, base, match_header=True), out)
+    row = datasets.read_dataset(spark, out, "case_packet").first()
+    assert (row.alerts_count, row.txn_count_case, row.party_name) == (2, 2, 'Na"me, Inc')
+    assert row.amount_total_usd_case == pytest.approx(21.0)
+    assert [t.txn_id for t in row.supporting_transactions] == ["x", "q"]
+    assert datasets.read_dataset(spark, out, "case_packet_json").count() == 1
+    assert datasets.read_dataset(spark, out, "tx_timeline_daily").count() == 1
+
+
+def test_corpus(spark, tmp_path):
+    folder = tmp_path / "corpus"
+    (folder / "deep er").mkdir(parents=True)
+    write(folder / "plain.MD", "a\r\nb\rc")
+    write(folder / "deep er" / "guide__v2__v3.txt", "x")
+    write(folder / "two.dots.markdown", "y")
+    write(folder / "page.html", "z")
+    write(folder / ".md", "hidden")
+    rows = {r.title: r for r in corpus.read_corpus(spark, str(folder)).collect()}
+    assert {(r.doc_id, r.version) for r in rows.values()} == {
+        ("plain", "v1"), ("guide", "v2__v3"), ("two.dots", "v1"),
+    }
+    assert rows["plain"].text == "a\nb\nc"
+    assert corpus.read_corpus(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_contract_lists_violations(spark):
+    tables = inputs(
+        spark,
+        transactions=[txn("x"), txn("x"), txn("x", amount=None), txn(None)],
+        alerts=[alert("1")],
+    )
+    tables["parties"] = tables["parties"].drop("risk_rating").withColumn("extra", F.lit(1))
+    tables["merchants"] = tables["merchants"].withColumn("state", F.lit(1))
+    found = {
+        (r.table, r.column, r.rule): r.violations
+        for r in contract.check(tables).collect()
+        if r.violations
+    }
+    assert found == {
+        ("transactions", "txn_id", "unique"): 2,
+        ("transactions", "txn_id", "required"): 1,
+        ("transactions", "amount", "required"): 1,
+        ("parties", "risk_rating", "missing"): 1,
+        ("parties", "extra", "unexpected"): 1,
+        ("merchants", "state", "type"): 1,
+    }
+
+
+def test_staged_tables_go_to_the_configured_folder(spark):
+    assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert build_session("again").sparkContext.applicationId == spark.sparkContext.applicationId
