@@ -89,8 +89,14 @@ def of_cases(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids.select("case_id").distinct(), "case_id", "left_semi")
 
 
-def case_counterparties(top: DataFrame, case: Column | str, n: int = 50) -> DataFrame:
-    """Largest counterparties of one case."""
+def case_counterparties(packets: DataFrame, case: Column | str, n: int = 50) -> DataFrame:
+    """Largest counterparties of one case, opened from its packet.
+
+    ``case`` is an id or a scalar subquery that gives one.
+    """
     wanted = F.lit(case) if isinstance(case, str) else case
+    opened = packets.where(F.col("case_id") == wanted).select(
+        "case_id", "party_id", F.inline("top_counterparties")
+    )
     order = [F.round("amount_total_usd", 6).desc(), F.col("counterparty_id").asc()]
-    return top.where(F.col("case_id") == wanted).orderBy(*order).limit(n)
+    return opened.orderBy(*order).limit(n)

@@ -61,10 +61,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores, for a scan of fewer splits than there are cores.
+    """Rows over all cores, for a plain scan of fewer splits than there are cores.
 
     A file of one row group is one task, however many cores wait.  Scans with
-    enough splits are returned as they are.
+    enough splits are returned as they are.  Only for scans: counting the splits
+    of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -300,8 +300,8 @@ FROM support_short""",
 WHERE position>=25 AND position<525""",
     "top_risk_cases": """SELECT case_id, party_id, max_risk_score, alerts_count, txn_count_case, amount_total_usd_case
 FROM packet_full ORDER BY max_risk_score DESC NULLS LAST, case_id LIMIT 20""",
-    "case_counterparties": """SELECT t.* EXCLUDE (rnk) REPLACE (round(amount_total_usd,6) AS amount_total_usd),
-  CAST(rnk AS INT) AS rank, c.counterparty_type, c.country
+    "case_counterparties": """SELECT t.* EXCLUDE (rnk, case_window_start_ms_utc, case_window_end_ms_utc)
+  REPLACE (round(amount_total_usd,6) AS amount_total_usd), c.counterparty_type, c.country
 FROM cp_full t LEFT JOIN fx_counterparties c ON t.counterparty_id=c.counterparty_id
 WHERE case_id=(SELECT case_id FROM packet_full ORDER BY max_risk_score DESC NULLS LAST, case_id LIMIT 1)""",
     "v_alert_summary": "SELECT * FROM alert_figures",

@@ -334,9 +334,10 @@ def top_risk_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def case_counterparties(spark: SparkSession, sf: str) -> DataFrame:
-    riskiest = triage.highest_risk(written(spark, sf, "case_packet"), 1).select("case_id")
-    top = _totals(frames(spark, sf, Limits()).top_counterparties)
-    return triage.case_counterparties(top, riskiest.scalar())
+    packets = written(spark, sf, "case_packet")
+    riskiest = triage.highest_risk(packets, 1).select("case_id").scalar()
+    rows = triage.case_counterparties(packets, riskiest)
+    return rows.withColumn("amount_total_usd", usd6("amount_total_usd"))
 
 
 def _view(spark: SparkSession, sf: str, name: str) -> DataFrame:

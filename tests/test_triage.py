@@ -92,6 +92,12 @@ def test_lookups(spark, packets, out):
     assert triage.of_cases(packets, ids).count() == 1
 
 
+def test_counterparties_of_one_case(packets):
+    case = packets.where("party_id = 'P0'").first().case_id
+    rows = triage.case_counterparties(packets, case).collect()
+    assert [(r.counterparty_id, r.txn_count, r.amount_total_usd) for r in rows] == [("C1", 2, 20.0)]
+
+
 def test_lookup_filter_reaches_the_scan(packets):
     plan = packets.where("case_id = 'x'")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(case_id), EqualTo(case_id,x)]" in plan
