@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.cases import CASE_KEY, DAY_MS, pipe_items, usd, utc_day
+from caseloom.operators.ranking import exact_medians, median_column
 
 # Widest slot of the window join: 2^36 days still fits a BIGINT of milliseconds.
 MAX_LEVEL = 36
@@ -92,41 +93,41 @@ def _distinct_sorted(column: str) -> Column:
     return F.sort_array(F.collect_set(column))
 
 
-def _median(column: str) -> Column:
-    return F.percentile_approx(column, 0.5)
-
-
 def _total_usd() -> Column:
     return F.sum("amount_usd")
 
 
 def alerts_summary(alerts: DataFrame) -> DataFrame:
     """Counts, risk figures and the distinct models, scenarios and severities."""
-    return alerts.groupBy(*CASE_KEY).agg(
+    summary = alerts.groupBy(*CASE_KEY).agg(
         F.count("*").alias("alerts_count"),
         *[
             F.count_if(F.col("severity") == level).alias(f"alerts_{level}")
             for level in ("high", "medium", "low")
         ],
         F.max("risk_score").alias("max_risk_score"),
-        _median("risk_score").alias("median_risk_score"),
+        median_column("risk_score").alias("median_risk_score"),
         _distinct_sorted("model_type").alias("model_types"),
         _distinct_sorted("scenario_code").alias("scenario_codes"),
         _distinct_sorted("severity").alias("severities"),
     )
+    return exact_medians(summary, alerts, CASE_KEY, "risk_score", "median_risk_score")
 
 
 def tx_summary(tx_case: DataFrame) -> DataFrame:
-    return tx_case.groupBy(*CASE_KEY).agg(
+    """Counts, dollars, first and last time, and instruments; counts ``tx_case`` first,
+    so it should be a written table."""
+    summary = tx_case.groupBy(*CASE_KEY).agg(
         F.count("*").alias("txn_count_case"),
         _total_usd().alias("amount_total_usd_case"),
-        _median("amount_usd").alias("median_amount_usd_case"),
+        median_column("amount_usd").alias("median_amount_usd_case"),
         F.max("amount_usd").alias("max_amount_usd_case"),
         F.min("txn_timestamp_ms_utc").alias("first_txn_ms_utc_case"),
         F.max("txn_timestamp_ms_utc").alias("last_txn_ms_utc_case"),
         F.avg("is_international").alias("intl_ratio_case"),
         _distinct_sorted("instrument_type").alias("instrument_types_case"),
     )
+    return exact_medians(summary, tx_case, CASE_KEY, "amount_usd", "median_amount_usd_case")
 
 
 def _totals_by(tx_case: DataFrame, *columns: str, extra: tuple[Column, ...] = ()) -> DataFrame:

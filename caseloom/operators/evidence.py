@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.cases import CASE_KEY
 from caseloom.operators import cases as C
-from caseloom.operators.ranking import top_n, with_position
+from caseloom.operators.ranking import GROUP_BOUND, crowded_groups, top_n, with_position
 
 # How much of each list a packet shows.
 SUPPORTING_TRANSACTIONS = 200
@@ -16,7 +16,7 @@ TOP_MERCHANTS = 50
 
 # Alerts that one packet row holds.  A case with more continues in further pages
 # of the same size, so no alert is left out and no row grows without limit.
-ALERT_PAGE = 10_000
+ALERT_PAGE = GROUP_BOUND
 
 ALERT_DETAILS = [
     "alert_id", "model_type", "scenario_code", "risk_score", "severity", "trigger_summary",
@@ -83,17 +83,18 @@ def supporting_transactions(
     A listed id without a transaction in the window stays, with empty details,
     and ranks last.  Transactions are first reduced to listed ones, and of one id
     at most ``n`` copies are kept (no more can be shown), so a repeated id cannot
-    fill a task.
+    fill a task.  Ties go to the smaller id, then to the larger details.
     """
     ids = supporting_ids(alerts)
     key = [*CASE_KEY, "txn_id"]
-    recent_first = [F.col("txn_timestamp_ms_utc").desc_nulls_last()]
+    recent_first = [F.col("txn_timestamp_ms_utc").desc_nulls_last(), F.col("txn_id").asc()]
+    recent_first += [F.col(c).desc_nulls_last() for c in TRANSACTION_DETAILS]
     listed = tx_case.select(*key, "txn_timestamp_ms_utc", *TRANSACTION_DETAILS).join(
         ids, key, "left_semi"
     )
     copies = top_n(listed, key, recent_first, n).drop("rank")
     detailed = ids.join(copies, key, "left")
-    return top_n(detailed, CASE_KEY, [*recent_first, F.col("txn_id").asc()], n)
+    return top_n(detailed, CASE_KEY, recent_first, n)
 
 
 def alert_pages(alerts: DataFrame, page: int = ALERT_PAGE) -> DataFrame:
@@ -109,8 +110,8 @@ def alert_pages(alerts: DataFrame, page: int = ALERT_PAGE) -> DataFrame:
     def single(df: DataFrame) -> DataFrame:
         return df.groupBy(*CASE_KEY).agg(latest_first).withColumn("page", F.lit(0))
 
-    crowded = alerts.groupBy(*CASE_KEY).count().where(F.col("count") > page).select(*CASE_KEY)
-    if crowded.isEmpty():
+    crowded = crowded_groups(alerts, CASE_KEY, page)
+    if crowded is None:
         return single(alerts)
     order = [F.col(c).desc() for c in ("alert_timestamp_ms_utc", *ALERT_DETAILS)]
     numbered = with_position(alerts.join(crowded, CASE_KEY, "left_semi"), CASE_KEY, order)

@@ -23,6 +23,52 @@ def top_n(
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
+# Rows of one group that an array, or an exact sketch of a median, may hold.
+GROUP_BOUND = 10_000
+
+
+def crowded_groups(df: DataFrame, group: Sequence[str], bound: int) -> DataFrame | None:
+    """Keys of the groups with more than ``bound`` rows, or None if a count finds none.
+
+    The count is one aggregation over the key columns.  Knowing the answer keeps the
+    extra steps for large groups out of the usual plan.
+    """
+    keys = df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > bound)
+    return None if keys.isEmpty() else keys.select(*group)
+
+
+def median_column(column: str) -> Column:
+    """Lower median; exact for groups of up to ``GROUP_BOUND`` rows.
+
+    The sketch keeps every value while 2 * rows / accuracy stays below one.
+    """
+    return F.percentile_approx(column, 0.5, 4 * GROUP_BOUND)
+
+
+def exact_medians(
+    summary: DataFrame, df: DataFrame, group: Sequence[str], column: str, median: str
+) -> DataFrame:
+    """``summary`` with an exact ``median`` for groups too large for the sketch.
+
+    The values of such groups are numbered across many tasks, and the middle one is
+    found by its number, so the join is as even as the numbers are.
+    """
+    crowded = crowded_groups(df, group, GROUP_BOUND)
+    if crowded is None:
+        return summary
+    values = df.where(F.col(column).isNotNull()).select(*group, column)
+    large = values.join(crowded, list(group), "left_semi")
+    place = F.floor((F.count("*") - 1) / 2).cast("bigint").alias("position")
+    middles = large.groupBy(*group).agg(place)
+    numbered = with_position(large, group, [F.col(column).asc()])
+    found = numbered.join(middles, [*group, "position"]).select(
+        *group, F.col(column).alias("_exact")
+    )
+    return summary.join(found, list(group), "left").select(
+        *[F.coalesce("_exact", c).alias(c) if c == median else F.col(c) for c in summary.columns]
+    )
+
+
 def with_position(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], position: str = "position"
 ) -> DataFrame:

@@ -53,7 +53,9 @@ def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, sf_dir: str, na
         return f"rows {len(ours)} != {len(theirs)}"
     different = [(a, b) for a, b in zip(ours, theirs) if a != b]
     if different:
-        return f"{len(different)} rows differ, first {different[0]}"
+        ours_first, theirs_first = different[0]
+        cells = [(a, b) for a, b in zip(ours_first, theirs_first) if a != b]
+        return f"{len(different)} rows differ, first in {str(cells)[:500]}"
     return ""
 
 

@@ -66,6 +66,12 @@ def _set(column: str) -> str:
     return f"array_to_string(list_sort(list_distinct(list({column}))),',')"
 
 
+_DETAILS = """instrument_type direction amount currency counterparty_id merchant_id channel
+    country state is_international description""".split()
+_BY_DETAILS = ", ".join(f"{c} DESC NULLS LAST" for c in _DETAILS)
+_RECENT = f"ts DESC NULLS LAST, txn_id, {_BY_DETAILS}"
+_LISTED = f"ts DESC NULLS LAST, txn_id DESC, {_BY_DETAILS}"
+
 PARTS = {
     **{name: fixture_sql(name, DUCKDB_SPELLING) for name in FIXTURES},
     "cases": """
@@ -128,11 +134,11 @@ SELECT i.case_id, i.party_id, t.txn_timestamp_ms_utc AS ts, i.txn_id, t.instrume
   t.amount, t.currency, t.counterparty_id, t.merchant_id, t.channel, t.country, t.state,
   t.is_international, t.description
 FROM listed_ids i LEFT JOIN cased_tx t ON i.case_id=t.case_id AND i.txn_id=t.txn_id""",
-    "support_short": """
-SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts DESC NULLS LAST, txn_id) AS cut
+    "support_short": f"""
+SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY {_RECENT}) AS cut
 FROM listed_tx QUALIFY cut <= 3""",
-    "support_full": """
-SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts DESC NULLS LAST, txn_id) AS cut
+    "support_full": f"""
+SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY {_RECENT}) AS cut
 FROM listed_tx QUALIFY cut <= 200""",
     "packet": """
 SELECT c.case_id, c.party_id, party_type, party_name, industry, country, state, onboarding_date,
@@ -288,8 +294,8 @@ FROM cp_short t LEFT JOIN fx_counterparties c ON t.counterparty_id=c.counterpart
   CAST(rnk AS INT) AS rank, m.merchant_name, m.merchant_category, m.country, m.state
 FROM m_short t LEFT JOIN fx_merchants m ON t.merchant_id=m.merchant_id""",
     "supporting_ids": "SELECT * FROM listed_ids",
-    "supporting_transactions": """SELECT * EXCLUDE (cut),
-  CAST(row_number() OVER (PARTITION BY case_id ORDER BY ts DESC NULLS LAST, txn_id DESC)-1 AS INT) AS place
+    "supporting_transactions": f"""SELECT * EXCLUDE (cut),
+  CAST(row_number() OVER (PARTITION BY case_id ORDER BY {_LISTED})-1 AS INT) AS place
 FROM support_short""",
     "case_packet": "SELECT * FROM packet_full",
     "case_packet_json": """SELECT case_id AS row_id, case_id, party_id, industry, expected_avg_txn_usd,

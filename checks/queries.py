@@ -190,7 +190,7 @@ def alerts_details(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def tx_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return with_case_id(frames(spark, sf).tx_summary).withColumns(
+    return with_case_id(frames(spark, sf, staged=True).tx_summary).withColumns(
         {
             "instrument_types_case": joined("instrument_types_case"),
             **{

@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from caseloom.functions.cases import CASE_KEY
 from caseloom.operators import cases as C
+from caseloom.operators import ranking
 from caseloom.operators.packet import CaseFrames
 from caseloom.operators.ranking import top_n, with_position
 from tests.rows import DAY, alert, inputs
@@ -75,6 +77,26 @@ def test_packet_of_a_hot_party_is_whole(spark):
     assert all(sum(c.txn_count for c in r.top_counterparties) == 6000 for r in rows)
 
 
+def test_medians_of_large_groups_are_exact(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [("x" if i % 10 else "y", rng.choice([None, 1.0, 2.0, rng.random() * 9])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    summary = df.groupBy("g").agg(ranking.median_column("v").alias("m"), F.count("*").alias("n"))
+    for bound in (10_000, 500, 5):
+        monkeypatch.setattr(ranking, "GROUP_BOUND", bound)
+        got = {r.g: (r.m, r.n) for r in ranking.exact_medians(summary, df, ["g"], "v", "m").collect()}
+        for g in "xy":
+            values = sorted(v for k, v in rows if k == g and v is not None)
+            assert got[g] == (values[(len(values) - 1) // 2], sum(k == g for k, _ in rows))
+
+
+@pytest.mark.parametrize("n", [4_999, 5_001, 9_999, 10_000])
+def test_sketch_is_exact_up_to_the_bound(spark, n):
+    df = spark.range(n).select((F.col("id") * 7919 % 104_729).cast("double").alias("v"))
+    rows = df.repartition(6).agg(ranking.median_column("v")).first()
+    assert rows[0] == sorted(i * 7919 % 104_729 for i in range(n))[(n - 1) // 2]
+
+
 def test_top_n_limits_groups_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("g"), "id")
     plan = top_n(df, ["g"], [F.col("id").desc()], 3)._jdf.queryExecution().executedPlan().toString()
