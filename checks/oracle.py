@@ -99,7 +99,7 @@ SELECT case_id, party_id, window_start_ms_utc AS case_window_start_ms_utc, windo
 FROM cased_alerts GROUP BY ALL""",
     "tx_figures": f"""
 SELECT case_id, party_id, case_window_start_ms_utc, case_window_end_ms_utc,
-  count(*) AS txn_count_case, round(sum(amount_usd),6) AS amount_total_usd_case,
+  count(*) AS txn_count_case, round(fsum(amount_usd),6) AS amount_total_usd_case,
   round(quantile_disc(amount_usd,0.5),6) AS median_amount_usd_case,
   round(max(amount_usd),6) AS max_amount_usd_case,
   min(txn_timestamp_ms_utc) AS first_txn_ms_utc_case, max(txn_timestamp_ms_utc) AS last_txn_ms_utc_case,
@@ -107,19 +107,19 @@ SELECT case_id, party_id, case_window_start_ms_utc, case_window_end_ms_utc,
 FROM cased_tx GROUP BY ALL""",
     "by_instrument": """
 SELECT case_id, party_id, case_window_start_ms_utc, case_window_end_ms_utc, instrument_type,
-  count(*) AS txn_count, sum(amount_usd) AS amount_total_usd FROM cased_tx GROUP BY ALL""",
+  count(*) AS txn_count, fsum(amount_usd) AS amount_total_usd FROM cased_tx GROUP BY ALL""",
     "by_counterparty": """
 SELECT case_id, party_id, case_window_start_ms_utc, case_window_end_ms_utc, counterparty_id,
-  count(*) AS txn_count, sum(amount_usd) AS amount_total_usd,
+  count(*) AS txn_count, fsum(amount_usd) AS amount_total_usd,
   avg(is_international) AS intl_ratio, max(txn_timestamp_ms_utc) AS last_txn_ms_utc
 FROM cased_tx GROUP BY ALL""",
     "by_merchant": """
 SELECT case_id, party_id, case_window_start_ms_utc, case_window_end_ms_utc, merchant_id,
-  count(*) AS txn_count, sum(amount_usd) AS amount_total_usd, max(txn_timestamp_ms_utc) AS last_txn_ms_utc
+  count(*) AS txn_count, fsum(amount_usd) AS amount_total_usd, max(txn_timestamp_ms_utc) AS last_txn_ms_utc
 FROM cased_tx WHERE merchant_id IS NOT NULL GROUP BY ALL""",
     "by_day": """
 SELECT case_id, party_id, strftime(make_timestamp(txn_timestamp_ms_utc*1000),'%Y-%m-%d') AS txn_date_utc,
-  instrument_type, count(*) AS txn_count, round(sum(amount_usd),6) AS amount_total_usd
+  instrument_type, count(*) AS txn_count, round(fsum(amount_usd),6) AS amount_total_usd
 FROM cased_tx GROUP BY ALL""",
     "cp_short": _topped("by_counterparty", "counterparty_id", 3),
     "cp_full": _topped("by_counterparty", "counterparty_id", 50),
