@@ -139,6 +139,23 @@ def test_nearest_equals_brute_force(spark, monkeypatch, blocks):
     }
 
 
+def test_nearest_among_many_ties_and_near_ties(spark):
+    rng = random.Random(9)
+    base = [rng.random() - 0.5 for _ in range(16)]
+    items = {}
+    for n in range(900):
+        vector = list(base) if n % 3 else [x + rng.choice([0, 1e-7, -1e-7, 0.3]) for x in base]
+        items[n] = vector
+    queries = {0: base, 1: [-x for x in base], 2: [rng.random() for _ in base]}
+    q = spark.createDataFrame(list(queries.items()), "query_id int, vector array<double>")
+    i = spark.createDataFrame(list(items.items()), "item_id int, vector array<double>")
+    got = {}
+    for r in nearest(q, i, 7, decimals=12).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.item_id)
+    wanted = plain_nearest(queries, items, 7)
+    assert got == {k: [i for i, _ in v] for k, v in wanted.items()}
+
+
 def test_fewer_items_than_asked_for(spark):
     q = spark.createDataFrame([("q", [1.0])], "query_id string, vector array<double>")
     i = spark.createDataFrame([("i", [2.0])], "item_id string, vector array<double>")
