@@ -87,14 +87,11 @@ def supporting_transactions(
     """
     ids = supporting_ids(alerts)
     key = [*CASE_KEY, "txn_id"]
-    recent_first = [F.col("txn_timestamp_ms_utc").desc_nulls_last(), F.col("txn_id").asc()]
-    recent_first += [F.col(c).desc_nulls_last() for c in TRANSACTION_DETAILS]
-    listed = tx_case.select(*key, "txn_timestamp_ms_utc", *TRANSACTION_DETAILS).join(
-        ids, key, "left_semi"
-    )
+    ts, details = "txn_timestamp_ms_utc", F.struct(*TRANSACTION_DETAILS).alias("details")
+    listed = tx_case.select(*key, ts, details).join(ids, key, "left_semi")
+    recent_first = [F.col(ts).desc_nulls_last(), F.col("txn_id"), F.col("details").desc()]
     copies = top_n(listed, key, recent_first, n).drop("rank")
-    detailed = ids.join(copies, key, "left")
-    return top_n(detailed, CASE_KEY, recent_first, n)
+    return top_n(ids.join(copies, key, "left"), CASE_KEY, recent_first, n)
 
 
 def alert_pages(alerts: DataFrame, page: int = ALERT_PAGE) -> DataFrame:
@@ -141,7 +138,7 @@ def merchant_list(ranked: DataFrame) -> DataFrame:
 def supporting_list(ranked: DataFrame) -> DataFrame:
     """Supporting transactions, latest first; ties by the following fields, descending."""
     item = F.struct(
-        F.col("txn_timestamp_ms_utc").alias("ts"), F.col("txn_id"), *TRANSACTION_DETAILS
+        F.col("txn_timestamp_ms_utc").alias("ts"), F.col("txn_id"), F.col("details.*")
     )
     return ranked.groupBy(*CASE_KEY).agg(
         F.sort_array(F.collect_list(item), asc=False).alias("supporting_transactions")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from caseloom import schemas
-from caseloom.session import spread, stage
+from caseloom.session import scratch_path, spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -163,19 +163,21 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(fixture_sql(name, SPARK_SPELLING))
 
 
-_STAGED: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_WRITTEN: dict[tuple[str, str], str] = {}
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The five input tables.  They are written once per session and data folder,
+    """The five input tables.  They are written once per application and data folder,
     as the engine's real inputs are files, not a join over other tables."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STAGED:
-        staged = {}
+    if key not in _WRITTEN:
+        base = scratch_path(spark, "inputs")
         for name in schemas.INPUTS:
             df = fixture(spark, sf_dir, f"fx_{name}")
-            types = {f.name: f.dataType for f in schemas.schema(name)}
-            typed = df.select(*[df[c].cast(t).alias(c) for c, t in types.items()])
-            staged[name] = stage(typed, f"input-{name}")
-        _STAGED[key] = staged
-    return _STAGED[key]
+            typed = [df[f.name].cast(f.dataType) for f in schemas.schema(name)]
+            df.select(*typed).write.parquet(f"{base}/{name}")
+        _WRITTEN[key] = base
+    return {
+        name: spark.read.schema(schemas.schema(name)).parquet(f"{_WRITTEN[key]}/{name}")
+        for name in schemas.INPUTS
+    }

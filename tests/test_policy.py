@@ -166,8 +166,8 @@ def test_fewer_items_than_asked_for(spark):
 def case(spark, **more):
     row = {
         "case_id": "c", "party_type": "business", "industry": "payments", "risk_rating": "high",
-        "model_types": [], "scenario_codes": ["SAR_ESCALATION"],
-        "alerts": [("suspicious activity reporting",)],
+        "model_types": [], "scenario_codes": ["ESCALATE"],
+        "alerts": [("report of suspicious activity",)],
     }
     row.update(more)
     return spark.createDataFrame(
@@ -185,7 +185,7 @@ def test_query_text(spark):
     )
     assert policy.case_queries(packet).first().query == (
         "party_type: business\nrisk_rating: high\nmodel_types: a, b\n"
-        "scenario_codes: SAR_ESCALATION\none\nfour\nfive"
+        "scenario_codes: ESCALATE\none\nfour\nfive"
     )
     nothing = case(spark, party_type="", industry=None, risk_rating=None, scenario_codes=None, alerts=None)
     assert policy.case_queries(nothing).first().query == ""
@@ -194,12 +194,10 @@ def test_query_text(spark):
 def test_index_and_retrieval(spark, tmp_path):
     folder = tmp_path / "corpus"
     folder.mkdir()
-    (folder / "sar_guidance__v1.md").write_text(
-        "# SAR Guidance\nThis policy covers suspicious activity reporting and escalation.\n"
-    )
-    (folder / "credit_risk__v1.md").write_text(
-        "# Credit Risk\nThis policy covers credit card underwriting.\n"
+    (folder / "reporting__v1.md").write_text(
+        "# When to report\nReport suspicious activity at once and escalate open questions.\n"
     )
+    (folder / "card_limits__v1.md").write_text("# Card limits\nWho may raise a limit, and how far.\n")
     root = str(tmp_path / "index")
     with pytest.raises(FileNotFoundError):
         policy_index.read_index(spark, root)
@@ -208,18 +206,18 @@ def test_index_and_retrieval(spark, tmp_path):
     assert index.count() == 2
     queries = policy.case_queries(case(spark)).withColumnRenamed("case_id", "query_id")
     best = policy.passages(queries, index, 1).collect()
-    assert [r.doc_id for r in best] == ["sar_guidance"]
+    assert [r.doc_id for r in best] == ["reporting"]
     empty = queries.withColumn("query", F.lit(""))
     assert policy.passages(empty, index).count() == 0
 
     # The text changes: the document is replaced, its old chunk stays.
-    (folder / "credit_risk__v1.md").write_text("# Credit Risk\nNew text.\n")
+    (folder / "card_limits__v1.md").write_text("# Card limits\nNew text.\n")
     policy_index.update(spark, corpus.read_corpus(spark, str(folder)), root, "g2")
     assert policy_index.read_index(spark, root).count() == 3
     documents = spark.read.parquet(f"{root}/g2/documents")
     assert documents.count() == 2
     hashes = {r.doc_id: r.content_hash for r in documents.collect()}
-    assert hashes["credit_risk"] == hashlib.sha256(b"# Credit Risk\nNew text.\n").hexdigest()
+    assert hashes["card_limits"] == hashlib.sha256(b"# Card limits\nNew text.\n").hexdigest()
 
 
 def test_upsert_keeps_the_last_of_repeats(spark):

@@ -10,17 +10,17 @@ from caseloom.operators.packet import CaseFrames
 from tests.rows import alert, inputs
 
 VALID = {
-    "case_summary": "Summary",
-    "key_indicators": [{"text": "indicator", "evidence_refs": ["alerts[0].alert_id"]}],
-    "benign_explanations_to_rule_out": [{"text": "benign", "evidence_refs": ["party_id"]}],
+    "case_summary": "Four wires in two days.",
+    "key_indicators": [{"text": "size", "evidence_refs": ["supporting_transactions[2]"]}],
+    "benign_explanations_to_rule_out": [{"text": "payroll", "policy_citations": ["guide 2 (v1)"]}],
     "policy_mapping": [
-        {"policy_ref": "guide", "rationale": "r", "citations": [{"citation": "doc section (v1)"}]}
+        {"policy_ref": "guide", "rationale": "r", "citations": [{"citation": "guide 3 (v1)"}]}
     ],
-    "missing_information": [{"text": "missing"}],
-    "recommended_disposition": "file",
-    "confidence": 0.5,
-    "uncertainty_reasons": ["limited data"],
-    "investigator_next_steps": [{"text": "next", "evidence_refs": ["case_packet"]}],
+    "missing_information": [{"text": "invoices"}],
+    "recommended_disposition": "escalate",
+    "confidence": 0.75,
+    "uncertainty_reasons": ["short history"],
+    "investigator_next_steps": [{"text": "ask", "evidence_refs": ["alerts[1]"]}],
     "narrative_draft": None,
 }
 NOT_JSON, NOTHING, BAD = review.NOT_JSON, review.NOTHING, review.BAD_SCHEMA

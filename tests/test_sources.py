@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from caseloom import schemas
 from caseloom.plans import daily
-from caseloom.session import build_session, scratch_root
+from caseloom.session import build_session, scratch_root, spread
 from caseloom.sources import contract, corpus, datasets
 from tests.rows import alert, inputs, txn
 
@@ -116,3 +116,12 @@ def test_contract_lists_violations(spark):
 def test_staged_tables_go_to_the_configured_folder(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert build_session("again").sparkContext.applicationId == spark.sparkContext.applicationId
+
+
+def test_spread_uses_all_cores_for_a_small_scan(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert spread(one).rdd.getNumPartitions() == cores
+    many = spark.range(0, 100, 1, 3 * cores)
+    assert spread(many) is many
