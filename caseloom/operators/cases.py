@@ -11,6 +11,9 @@ from caseloom.operators.ranking import exact_medians, median_column
 # Widest slot of the window join: 2^36 days still fits a BIGINT of milliseconds.
 MAX_LEVEL = 36
 
+# Party ids that are sent to every task, some tens of megabytes at most.
+BROADCAST_PARTIES = 500_000
+
 
 def _with_case_key(alerts: DataFrame) -> DataFrame:
     return alerts.withColumnsRenamed(
@@ -46,6 +49,16 @@ def _slot_width(level: str) -> str:
     return f"shiftleft({DAY_MS}L, {level})"
 
 
+def _of_parties(transactions: DataFrame, windows: DataFrame) -> DataFrame:
+    """Transactions of parties with a case, if their ids are few enough to send to
+    every task.  The count comes first; more ids than that are left to the window
+    join, which drops the other parties after its shuffle."""
+    parties = windows.select("party_id").distinct()
+    if parties.limit(BROADCAST_PARTIES + 1).count() > BROADCAST_PARTIES:
+        return transactions
+    return transactions.join(F.broadcast(parties), "party_id", "left_semi")
+
+
 def transactions_in_cases(transactions: DataFrame, cases: DataFrame) -> DataFrame:
     """Every transaction under every case of its party whose window holds it.
 
@@ -68,11 +81,14 @@ def transactions_in_cases(transactions: DataFrame, cases: DataFrame) -> DataFram
         )),
     ).withColumnRenamed("party_id", "_party")
 
-    # At most MAX_LEVEL + 1 numbers, read by every task as one scalar.
+    # Scalars that every task reads: the span of all windows, which lets the scan skip
+    # older files, and the levels in use, at most MAX_LEVEL + 1 numbers.
+    first, last = windows.select(F.min(start)).scalar(), windows.select(F.max(end)).scalar()
     levels = windows.select(F.sort_array(F.collect_set("_level"))).scalar()
     ts = F.col("txn_timestamp_ms_utc")
     placed = (
-        transactions.withColumn("_levels", levels)
+        _of_parties(transactions.where((ts >= first) & (ts <= last)), windows)
+        .withColumn("_levels", levels)
         .withColumn("_at_level", F.explode("_levels"))
         .withColumn("_at_slot", F.expr(f"txn_timestamp_ms_utc div {_slot_width('_at_level')}"))
     )

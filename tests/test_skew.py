@@ -62,6 +62,7 @@ def test_window_join_splits_a_hot_party(spark, conf):
     )
     given = hot_inputs(spark)
     joined = C.transactions_in_cases(given["transactions"], C.case_index(given["alerts"]))
+    assert joined.columns == [*given["transactions"].columns, *CASE_KEY[1:]]
     assert "skew=true" in final_plan(joined.select("txn_id", *CASE_KEY, "description"))
     counts = {
         (r.party_id, r.case_window_start_ms_utc): r["count"]
@@ -71,6 +72,16 @@ def test_window_join_splits_a_hot_party(spark, conf):
     assert sum(n for (p, _), n in counts.items() if p != "HOT") == 20_000
 
 
+def test_parties_without_cases_are_dropped_before_the_shuffle(spark, monkeypatch):
+    given = hot_inputs(spark, 300)
+    few = C.transactions_in_cases(given["transactions"], C.case_index(given["alerts"]))
+    assert "LeftSemi, BuildRight" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(C, "BROADCAST_PARTIES", 5)
+    many = C.transactions_in_cases(given["transactions"], C.case_index(given["alerts"]))
+    assert "LeftSemi" not in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(few.collect()) == sorted(many.collect())
+
+
 def test_packet_of_a_hot_party_is_whole(spark):
     rows = CaseFrames(hot_inputs(spark, 9_000)).packet.where("party_id = 'HOT'").collect()
     assert [r.txn_count_case for r in rows] == [6000, 6000]
