@@ -51,6 +51,11 @@ def test_sections(spark, text, wanted):
     assert sections(spark, text) == wanted
 
 
+def test_long_runs_of_blanks_are_quick(spark):
+    gap = " " * 200_000
+    assert sections(spark, f"# a\nx{gap}y{gap}\n{gap}#{gap}b{gap}\nz") == [("a", f"x{gap}y"), ("b", "z")]
+
+
 def plain_slices(text, size, overlap):
     """The windows of the rule, by position."""
     if len(text) <= size:
