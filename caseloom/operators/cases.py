@@ -49,16 +49,6 @@ def _slot_width(level: str) -> str:
     return f"shiftleft({DAY_MS}L, {level})"
 
 
-def _of_parties(transactions: DataFrame, windows: DataFrame) -> DataFrame:
-    """Transactions of parties with a case, if their ids are few enough to send to
-    every task.  The count comes first; more ids than that are left to the window
-    join, which drops the other parties after its shuffle."""
-    parties = windows.select("party_id").distinct()
-    if parties.limit(BROADCAST_PARTIES + 1).count() > BROADCAST_PARTIES:
-        return transactions
-    return transactions.join(F.broadcast(parties), "party_id", "left_semi")
-
-
 def transactions_in_cases(transactions: DataFrame, cases: DataFrame) -> DataFrame:
     """Every transaction under every case of its party whose window holds it.
 
@@ -81,15 +71,24 @@ def transactions_in_cases(transactions: DataFrame, cases: DataFrame) -> DataFram
         )),
     ).withColumnRenamed("party_id", "_party")
 
-    # Scalars that every task reads: the span of all windows, which lets the scan skip
-    # older files, and the levels in use, at most MAX_LEVEL + 1 numbers.
-    first, last = windows.select(F.min(start)).scalar(), windows.select(F.max(end)).scalar()
-    levels = windows.select(F.sort_array(F.collect_set("_level"))).scalar()
+    # One row about all windows: their span, which lets the scan skip older files, the
+    # levels in use (at most MAX_LEVEL + 1 numbers) and the number of parties.
+    facts = windows.agg(
+        F.min(start).alias("first"),
+        F.max(end).alias("last"),
+        F.sort_array(F.collect_set("_level")).alias("levels"),
+        F.approx_count_distinct("party_id", 0.02).alias("parties"),
+    ).first()
     ts = F.col("txn_timestamp_ms_utc")
+    relevant = transactions.where(ts.between(F.lit(facts["first"]), F.lit(facts["last"])))
+    if facts["parties"] <= BROADCAST_PARTIES:
+        # Other parties are dropped before the shuffle; with more ids than fit into
+        # every task, the window join drops them.
+        ids = windows.select("party_id").distinct()
+        relevant = relevant.join(F.broadcast(ids), "party_id", "left_semi")
+    levels = F.array(*[F.lit(n) for n in facts["levels"]]).cast("array<int>")
     placed = (
-        _of_parties(transactions.where((ts >= first) & (ts <= last)), windows)
-        .withColumn("_levels", levels)
-        .withColumn("_at_level", F.explode("_levels"))
+        relevant.withColumn("_at_level", F.explode(levels))
         .withColumn("_at_slot", F.expr(f"txn_timestamp_ms_utc div {_slot_width('_at_level')}"))
     )
     return placed.join(

@@ -57,6 +57,23 @@ def test_window_join_equals_brute_force(spark):
     assert found == wanted
 
 
+def test_no_windows_no_transactions(spark):
+    for alerts in ([], [alert("1", start=9, end=3)]):
+        frames = CaseFrames(inputs(spark, transactions=[txn("a", ts=5)], alerts=alerts))
+        assert frames.tx_case.count() == 0
+        assert frames.packet.count() == len(alerts)
+
+
+def test_span_of_windows_reaches_the_scan(spark, tmp_path):
+    given = inputs(spark, transactions=[txn("a", ts=5)], alerts=[alert("1", start=3, end=9)])
+    given["transactions"].write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    joined = C.transactions_in_cases(stored, C.case_index(given["alerts"]))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(txn_timestamp_ms_utc,3)" in plan
+    assert joined.count() == 1
+
+
 def test_alerts_without_a_whole_key_make_an_empty_case(spark):
     given = inputs(spark, alerts=[alert("1", start=None), alert("2")], transactions=[txn("a", ts=5)])
     rows = CaseFrames(given).packet.select("case_window_start_ms_utc", "alerts_count").collect()
