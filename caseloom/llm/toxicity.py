@@ -26,8 +26,8 @@ from caseloom.llm.common import Memo, stage, text_or_empty
 
 SAMPLE = 20_000
 BUCKETS = 1 << 18
-KEPT = 8_192
-SIZES = (3, 4, 5)
+KEPT = 2_048
+SIZES = (3, 4, 5, 6)
 SMOOTHING = 1.0
 PENALTY = 1.0
 STEPS = 200
