@@ -5,7 +5,7 @@
    its leading term directions: tasks add up Y'Y and Y'T (T: counts, Y = T O, O: fixed random
    numbers) over their passages, Spark adds these up by term, and a small factorisation of the
    sums gives the directions.  As Y'T does not contain the weights, the same pass counts the
-   passages of each term, so the corpus is read once.
+   documents of each term, so the corpus is read once.
 2. Passages that overlap by half are projected into the latent space and compared by cosine
    with all passages of the benchmark items.  Passages with less than ``KNOWN`` of their words
    from the benchmark are left out before: they cannot be one in other words either.
@@ -20,6 +20,7 @@ shuffled; the benchmark goes to all tasks, and its size is checked.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,10 +34,11 @@ from caseloom.llm.common import text_or_empty
 WINDOW = 12
 STEP = 6  # of document passages
 ITEM_STEP = 3  # of item passages
-RANK = 48
+RANK = 64
 TERMS = 1 << 16  # columns; words beyond share columns
 KNOWN = 0.75
 COSINE = 0.7
+COMMON = 0.5  # of a passage's words, in the item
 SHARE = 0.7
 ANSWER = 0.5
 ANSWER_WORDS = 8
@@ -106,8 +108,8 @@ def _directions(columns: int, rank: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, known: Benchmark, text_col: str = "text", rank: int = RANK) -> DataFrame:
-    """Sums ``term, passages, s0, s1, ...``: a row of (Y'T)' and the number of passages for each
-    term; -1 - i: row i of Y'Y; ``columns``: the number of all passages."""
+    """Sums ``term, texts, s0, s1, ...``: a row of (Y'T)' and the number of texts for each term;
+    -1 - i: row i of Y'Y; ``columns``: the number of all texts."""
     width, names = known.columns, [f"s{i}" for i in range(rank)]
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -115,7 +117,7 @@ def sketch(docs: DataFrame, known: Benchmark, text_col: str = "text", rank: int
         own = shared.value
         omega = _directions(width, rank)
         yty, yt = np.zeros((rank, rank)), np.zeros((width, rank))
-        passages, count = np.zeros(width, np.int64), 0
+        texts, count = np.zeros(width, np.int64), 0
 
         def add(term: np.ndarray, at: np.ndarray) -> None:
             # term and passage of each known word, ordered by passage
@@ -127,16 +129,15 @@ def sketch(docs: DataFrame, known: Benchmark, text_col: str = "text", rank: int
             sorted_term = term[order]
             starts = np.flatnonzero(np.r_[True, sorted_term[1:] != sorted_term[:-1]])
             yt[sorted_term[starts]] += np.add.reduceat(y[place[order]], starts, axis=0)
-            pairs = np.unique(at * np.int64(width) + term)
-            passages[:] += np.bincount(pairs % width, minlength=width)
 
         for batch in batches:
             terms, ats, held, base = [], [], 0, 0
             for text in batch.column(0):
                 number = own.numbers(split(text.as_py()))
-                count += -(-len(number) // WINDOW)
+                count += 1
                 known_at = np.flatnonzero(number >= 0)
                 terms.append(number[known_at])
+                texts[np.unique(terms[-1])] += 1
                 ats.append(base + known_at // WINDOW)
                 base += len(number) // WINDOW + 1
                 held += len(known_at)
@@ -145,18 +146,18 @@ def sketch(docs: DataFrame, known: Benchmark, text_col: str = "text", rank: int
                     terms, ats, held = [], [], 0
             if held:
                 add(np.concatenate(terms), np.concatenate(ats))
-        some = np.flatnonzero(passages)
+        some = np.flatnonzero(texts)
         sums = np.concatenate([yt[some], yty, np.zeros((1, rank))])
         keys = np.concatenate([some, -1 - np.arange(rank), [width]])
-        seen = np.concatenate([passages[some], np.zeros(rank, np.int64), [count]])
+        seen = np.concatenate([texts[some], np.zeros(rank, np.int64), [count]])
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.int64()), pa.array(seen, pa.int64()), *[pa.array(c) for c in sums.T]],
-            names=["term", "passages", *names],
+            names=["term", "texts", *names],
         )
 
-    schema = "term long, passages long, " + ", ".join(f"{n} double" for n in names)
+    schema = "term long, texts long, " + ", ".join(f"{n} double" for n in names)
     each = docs.select(text_or_empty(text_col).cast("binary").alias("t")).mapInArrow(work, schema)
-    return each.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("passages", *names)])
+    return each.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("texts", *names)])
 
 
 def term_vectors(sums: DataFrame, known: Benchmark, rank: int = RANK) -> np.ndarray:
@@ -166,14 +167,14 @@ def term_vectors(sums: DataFrame, known: Benchmark, rank: int = RANK) -> np.ndar
     rows = sums.toArrow().to_pydict()
     term = np.array(rows["term"], np.int64)
     values = np.stack([np.array(rows[f"s{i}"]) for i in range(rank)], axis=1)
-    passages = np.array(rows["passages"], np.int64)
+    texts = np.array(rows["texts"], np.int64)
     width = known.columns
-    total = int(passages[term == width].sum())
+    total = int(texts[term == width].sum())
     idf = np.full(width, np.log(1.0 + total) + 1.0)
     yt, yty = np.zeros((width, rank)), np.zeros((rank, rank))
     inner = (term >= 0) & (term < width)
     yt[term[inner]] = values[inner]
-    idf[term[inner]] = np.log((1.0 + total) / (1.0 + passages[inner])) + 1.0
+    idf[term[inner]] = np.log((1.0 + total) / (1.0 + texts[inner])) + 1.0
     yty[-1 - term[term < 0]] = values[term < 0]
     value, vector = np.linalg.eigh(yty)
     good = value > max(1e-9, 1e-10 * value[-1])
@@ -222,7 +223,10 @@ class Finder:
         shape = (0, vectors.shape[1])
         self.passages = _unit(np.array(rows, np.float32)) if rows else np.zeros(shape, np.float32)
         self.owner = np.array(owner, np.int64)
-        self.sets = [set(item.words) for item in known.items]
+        self.first = np.flatnonzero(np.r_[True, self.owner[1:] != self.owner[:-1]][: len(owner)])
+        words = [k * np.int64(known.columns + 1) + known.numbers(item.words) + 1 for k, item in enumerate(known.items)]
+        self.own_words = np.unique(np.concatenate(words)) if words else np.empty(0, np.int64)
+        self.often = [Counter(item.words) for item in known.items]
 
     def candidates(self, numbers: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
         """``(text, first word, item)`` of passage pairs with the cosine, for many texts."""
@@ -246,21 +250,27 @@ class Finder:
             place = (base[text[cut]] + start[cut])[:, None] + np.arange(WINDOW)
             number = np.where(place < base[text[cut] + 1][:, None], words[place], -1)
             vector = _unit(self.vectors[number].sum(axis=1))
-            hit, passage = np.nonzero(vector @ self.passages.T >= COSINE)
-            found = np.unique(np.stack([text[low + hit], start[low + hit], self.owner[passage]], axis=1), axis=0)
-            yield from map(tuple, found.tolist())
+            best = np.maximum.reduceat(vector @ self.passages.T, self.first, axis=1)
+            hit, item = np.nonzero(best >= COSINE)
+            item = self.owner[self.first[item]]
+            # Passages that share too few words with the item cannot pass the checks.
+            key = item[:, None] * np.int64(self.known.columns + 1) + number[hit] + 1
+            there = self.own_words[np.minimum(np.searchsorted(self.own_words, key), len(self.own_words) - 1)] == key
+            same = (there & (number[hit] >= 0)).sum(axis=1) >= COMMON * WINDOW
+            hit, item = low + hit[same], item[same]
+            yield from zip(text[hit].tolist(), start[hit].tolist(), item.tolist(), strict=True)
 
     def verified(self, words: list[bytes], item: int, starts: list[int]) -> tuple[float, float, int, int] | None:
         """Shares of the item and of its answer in the neighbourhood of passages, and the
         neighbourhood; the best, or None."""
-        known = self.known.items[item]
+        known, often = self.known.items[item], self.often[item]
         n, best = len(known.words), None
         for start in starts:
-            near = words[start : start + WINDOW]
-            if 2 * sum(w in self.sets[item] for w in near) < WINDOW:
-                continue
             low, high = max(0, start - n), start + WINDOW + n
             part = words[low:high]
+            # A subsequence holds no more than the item's words that are there at all.
+            if sum(map(often.__getitem__, often.keys() & part)) < SHARE * n:
+                continue
             share = subsequence(known.words, part) / n
             if share < SHARE or (best and share <= best[0]):
                 continue
