@@ -175,11 +175,11 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray) -> tu
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **columns: str) -> Model:
     """Fit on at most ``sample`` labelled rows.  Without rows of both classes the model has no
-    features and its score is the share of toxic rows (one half without any)."""
+    features, and its score is the smoothed share of toxic rows (0.05 without any)."""
     rows = stage(training_rows(docs, labels, sample, **columns), "training")
     counts = {r["feature"]: (r["toxic"], r["other"]) for r in feature_counts(rows).collect()}  # BUCKETS rows at most
     toxic, other = counts.pop(-1, (0, 0))
-    prior = (toxic + 0.5) / (toxic + other + 1.0)
+    prior = (toxic + 0.05) / (toxic + other + 1.0)
     nothing = Model(np.empty(0, np.int64), np.empty(0), float(np.log(prior / (1 - prior))))
     if not toxic or not other or not counts:
         return nothing
