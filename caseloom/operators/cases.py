@@ -11,8 +11,6 @@ from caseloom.operators.ranking import exact_medians, median_column
 # Widest slot of the window join: 2^36 days still fits a BIGINT of milliseconds.
 MAX_LEVEL = 36
 
-# Party ids that are sent to every task, some tens of megabytes at most.
-BROADCAST_PARTIES = 500_000
 
 
 def _with_case_key(alerts: DataFrame) -> DataFrame:
@@ -55,7 +53,7 @@ def transactions_in_cases(transactions: DataFrame, cases: DataFrame) -> DataFram
     A join on the party alone would compare each transaction with each window of
     the party and put a busy party into one task.  Time is therefore cut into
     slots of 2^level days, with the level taken from the window's length, so a
-    window touches two or three slots and a transaction one per level in use.
+    window touches two or three slots and a transaction one per level of its party.
     The join key (party, level, slot) spreads a busy party over time; a slot that
     is still too large is split by adaptive skew handling, as this is a plain
     inner join.  Both window ends are inclusive.
@@ -71,24 +69,18 @@ def transactions_in_cases(transactions: DataFrame, cases: DataFrame) -> DataFram
         )),
     ).withColumnRenamed("party_id", "_party")
 
-    # One row about all windows: their span, which lets the scan skip older files, the
-    # levels in use (at most MAX_LEVEL + 1 numbers) and the number of parties.
-    facts = windows.agg(
-        F.min(start).alias("first"),
-        F.max(end).alias("last"),
-        F.sort_array(F.collect_set("_level")).alias("levels"),
-        F.approx_count_distinct("party_id", 0.02).alias("parties"),
-    ).first()
+    # The span of all windows lets the scan skip older files.
+    span = windows.agg(F.min(start).alias("first"), F.max(end).alias("last")).first()
     ts = F.col("txn_timestamp_ms_utc")
-    relevant = transactions.where(ts.between(F.lit(facts["first"]), F.lit(facts["last"])))
-    if facts["parties"] <= BROADCAST_PARTIES:
-        # Other parties are dropped before the shuffle; with more ids than fit into
-        # every task, the window join drops them.
-        ids = windows.select("party_id").distinct()
-        relevant = relevant.join(F.broadcast(ids), "party_id", "left_semi")
-    levels = F.array(*[F.lit(n) for n in facts["levels"]]).cast("array<int>")
+    relevant = transactions.where(ts.between(F.lit(span["first"]), F.lit(span["last"])))
+    # A party's own levels: at most MAX_LEVEL + 1 numbers.  The join drops transactions of
+    # parties without cases, and each other one is repeated for its own party's levels only.
+    levels = windows.groupBy(F.col("party_id").alias("_of")).agg(
+        F.sort_array(F.collect_set("_level")).alias("_levels")
+    )
     placed = (
-        relevant.withColumn("_at_level", F.explode(levels))
+        relevant.join(levels, F.col("party_id") == F.col("_of"))
+        .withColumn("_at_level", F.explode("_levels"))
         .withColumn("_at_slot", F.expr(f"txn_timestamp_ms_utc div {_slot_width('_at_level')}"))
     )
     return placed.join(

@@ -17,28 +17,28 @@ from caseloom.session import stage
 
 
 # Groups of the JSON form, as output name -> packet column.
-_PARTY = (
-    "party_id party_type party_name industry country state onboarding_date "
-    "risk_rating expected_monthly_volume_usd expected_avg_txn_usd"
-)
-_ALERTS_SUMMARY = (
-    "alerts_count alerts_high alerts_medium alerts_low max_risk_score "
-    "median_risk_score model_types scenario_codes"
-)
-_TX_SUMMARY = (
-    "txn_count_case amount_total_usd_case median_amount_usd_case max_amount_usd_case "
-    "first_txn_ms_utc_case last_txn_ms_utc_case intl_ratio_case instrument_types_case"
-)
+_PARTY = [
+    "party_id", "party_type", "party_name", "industry", "country", "state", "onboarding_date",
+    "risk_rating", "expected_monthly_volume_usd", "expected_avg_txn_usd",
+]
+_ALERTS_SUMMARY = [
+    "alerts_count", "alerts_high", "alerts_medium", "alerts_low", "max_risk_score",
+    "median_risk_score", "model_types", "scenario_codes",
+]
+_TX_SUMMARY = [
+    "txn_count_case", "amount_total_usd_case", "median_amount_usd_case", "max_amount_usd_case",
+    "first_txn_ms_utc_case", "last_txn_ms_utc_case", "intl_ratio_case", "instrument_types_case",
+]
 JSON_LAYOUT: dict[str, str | dict[str, str]] = {
     "case_id": "case_id",
-    "party": {name: name for name in _PARTY.split()},
+    "party": {name: name for name in _PARTY},
     "window": {
         "start_ms_utc": "case_window_start_ms_utc",
         "end_ms_utc": "case_window_end_ms_utc",
     },
-    "alerts_summary": {name: name for name in _ALERTS_SUMMARY.split()},
+    "alerts_summary": {name: name for name in _ALERTS_SUMMARY},
     "alerts": "alerts",
-    "tx_summary": {name: name for name in _TX_SUMMARY.split()},
+    "tx_summary": {name: name for name in _TX_SUMMARY},
     "top_counterparties": "top_counterparties",
     "top_merchants": "top_merchants",
     "supporting_transactions": "supporting_transactions",
@@ -151,6 +151,11 @@ class CaseFrames:
         rest = with_case_id(self.alert_pages.where(F.col("page") > 0))
         return rest.select("case_id", "party_id", "page", "alerts")
 
+    @cached_property
+    def pages(self) -> DataFrame:
+        """Packets with all alerts, see :func:`paged`."""
+        return paged(self.packet, self.further_alerts)
+
     @cached_property
     def timeline_daily(self) -> DataFrame:
         columns = schemas.schema("tx_timeline_daily").fieldNames()
@@ -163,7 +168,24 @@ def _json_value(source: str | dict[str, str]) -> Column:
     return F.struct(*[F.col(column).alias(name) for name, column in source.items()])
 
 
-def packet_json(packet: DataFrame) -> DataFrame:
-    """The packet as one JSON text per case; null fields are left out."""
-    body = F.struct(*[_json_value(source).alias(name) for name, source in JSON_LAYOUT.items()])
-    return packet.select("case_id", F.to_json(body).alias("case_packet_json"))
+def paged(packet: DataFrame, further: DataFrame) -> DataFrame:
+    """The packet with ``page`` and ``pages``: one row per page of alerts.
+
+    A case of one page is its packet row.  Each further page repeats the row with its own
+    alerts, so the rows of a case hold all of them and no row grows without limit.
+    """
+    rest = packet.drop("alerts").join(further.select("case_id", "page", "alerts"), "case_id")
+    counts = further.groupBy("case_id").agg((F.max("page") + 1).alias("pages"))
+    rows = packet.withColumn("page", F.lit(0)).unionByName(rest)
+    return rows.join(counts, "case_id", "left").withColumn("pages", F.coalesce("pages", F.lit(1)))
+
+
+def packet_json(pages: DataFrame) -> DataFrame:
+    """One JSON text per row of :func:`paged`; null fields are left out.
+
+    The text of a case with several pages says which of them it is.
+    """
+    many = F.col("pages") > 1
+    numbers = [F.when(many, F.col("page")).alias("alert_page"), F.when(many, F.col("pages")).alias("alert_pages")]
+    body = F.struct(*[_json_value(source).alias(name) for name, source in JSON_LAYOUT.items()], *numbers)
+    return pages.select("case_id", F.to_json(body).alias("case_packet_json"), "page", "pages")

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.operators.packet import CaseFrames, Limits, packet_json
+from caseloom.operators.packet import CaseFrames, Limits, packet_json, paged
 from caseloom.operators.triage import numbered_queue
 from caseloom.session import build_session
 from caseloom.sources.datasets import read_dataset, read_inputs, write_by_case
@@ -21,15 +21,17 @@ def run(
 ) -> None:
     """Write the packet, its JSON form, further alert pages, timeline and queue.
 
-    The packet is computed once; its JSON form and the queue are made from the
-    written dataset.
+    The packet is computed once; its JSON form, in which every alert is, and the queue are
+    made from the written datasets.
     """
     frames = CaseFrames(inputs, limits)
     write_by_case(frames.packet, f"{out}/case_packet")
     packet = read_dataset(spark, out, "case_packet")
-    write_by_case(packet_json(packet), f"{out}/case_packet_json")
     # Pages of one case are many and large, so they stay spread as they are.
-    frames.further_alerts.write.mode("overwrite").parquet(f"{out}/case_further_alerts")
+    further = frames.further_alerts
+    further.write.mode("overwrite").parquet(f"{out}/case_further_alerts")
+    further = spark.read.schema(further.schema).parquet(f"{out}/case_further_alerts")
+    write_by_case(packet_json(paged(packet, further)), f"{out}/case_packet_json")
     write_by_case(frames.timeline_daily, f"{out}/tx_timeline_daily")
     numbered_queue(packet).write.mode("overwrite").parquet(f"{out}/case_queue")
 

@@ -28,19 +28,22 @@ def update(spark: SparkSession, documents: DataFrame, root: str, generation: str
     """Merge ``documents`` into the index below ``root`` as a new generation.
 
     Readers keep the old generation until the pointer is replaced, so a failed run
-    changes nothing.  ``generation`` names must sort by age.
+    changes nothing and can be repeated under the same name.  ``generation`` names must sort
+    by age.
     """
     target = f"{root}/{generation}"
     new_documents = policy.document_entries(documents)
     new_chunks = policy.embed(policy.chunks(documents))
     before = _current(spark, root)
+    if before == generation:
+        raise ValueError(f"generation {generation} is finished; give the next one a name of its own")
     if before is None:
         old_documents, old_chunks = new_documents.limit(0), new_chunks.limit(0)
     else:
         old_documents = spark.read.parquet(f"{root}/{before}/documents")
         old_chunks = spark.read.parquet(f"{root}/{before}/chunks")
-    policy.upsert_documents(old_documents, new_documents).write.parquet(f"{target}/documents")
-    policy.upsert_chunks(old_chunks, new_chunks).write.parquet(f"{target}/chunks")
+    policy.upsert_documents(old_documents, new_documents).write.mode("overwrite").parquet(f"{target}/documents")
+    policy.upsert_chunks(old_chunks, new_chunks).write.mode("overwrite").parquet(f"{target}/chunks")
     spark.createDataFrame([(generation,)], "value STRING").coalesce(1).write.mode(
         "append"
     ).text(f"{root}/CURRENT")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from caseloom.operators import evidence as E
-from caseloom.operators.packet import CaseFrames, packet_json, with_case_id
+from caseloom.operators.packet import CaseFrames, packet_json, paged, with_case_id
 
 # Views over other views.  Lists are opened into one row per item.
 _CASE_COLUMNS = "case_id, party_id"
@@ -57,7 +57,7 @@ def register_views(spark: SparkSession, frames: CaseFrames) -> None:
         "supporting_txn_ids": with_case_id(frames.supporting_ids),
         "supporting_tx_packet": with_case_id(E.supporting_list(frames.supporting_transactions)),
         "case_packet": packet,
-        "packet_for_llm": packet_json(packet),
+        "packet_for_llm": packet_json(paged(packet, frames.further_alerts)),
         "v_tx_timeline_daily": frames.timeline_daily,
     }
     for name, df in tables.items():

@@ -82,7 +82,7 @@ CASE_PACKET = f"""
     top_merchants ARRAY<STRUCT<{MERCHANT_ITEM}>>,
     supporting_transactions ARRAY<STRUCT<{TRANSACTION_ITEM}>>
 """
-CASE_PACKET_JSON = "case_id STRING, case_packet_json STRING"
+CASE_PACKET_JSON = "case_id STRING, case_packet_json STRING, page INT, pages INT"
 TX_TIMELINE_DAILY = """
     case_id STRING, party_id STRING, txn_date_utc STRING, instrument_type STRING,
     txn_count BIGINT NOT NULL, amount_total_usd DOUBLE

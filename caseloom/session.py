@@ -16,6 +16,8 @@ def build_session(app_name: str = "caseloom", **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Of repeated keys in a JSON object the last counts.
+        "spark.sql.variant.allowDuplicateKeys": "true",
         **conf,
     }
     builder = SparkSession.builder.appName(app_name)
@@ -36,7 +38,8 @@ def scratch_root(spark: SparkSession) -> str:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SCRATCH:

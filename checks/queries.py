@@ -288,7 +288,7 @@ def case_packet(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def case_packet_json(spark: SparkSession, sf: str) -> DataFrame:
-    text = packet_json(frames(spark, sf, Limits(), staged=True).packet)
+    text = packet_json(frames(spark, sf, Limits(), staged=True).pages)
     # The text is read back in one pass.
     shape = """case_id STRING, party STRUCT<party_id: STRING, industry: STRING, expected_avg_txn_usd: DOUBLE>,
         window STRUCT<end_ms_utc: BIGINT>,
@@ -311,6 +311,18 @@ def case_packet_json(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register
+def case_packet_json_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every alert of every case, from JSON texts of two alerts each."""
+    text = packet_json(frames(spark, sf, Limits(alert_page=2), staged=True).pages)
+    shape = "alerts ARRAY<STRUCT<alert_id: STRING>>, alert_page INT, alert_pages INT"
+    read = text.select("case_id", "page", "pages", F.from_json("case_packet_json", shape).alias("read"))
+    return read.select(
+        "case_id", "page", "pages", F.col("read.alert_page").alias("told_page"),
+        F.col("read.alert_pages").alias("told_pages"), F.posexplode("read.alerts").alias("place", "alert"),
+    ).select("case_id", "page", "pages", "told_page", "told_pages", "place", "alert.alert_id")
+
+
 # --- queue and views ----------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 """Case rules on hand-made rows."""
 
+import json
 import random
 
 import pytest
@@ -114,7 +115,7 @@ def test_case_without_transactions_has_nulls(spark):
     for name in ("txn_count_case", "amount_total_usd_case", "top_counterparties", "party_name",
                  "instrument_types_case", "supporting_transactions"):
         assert row[name] is None
-    text = packet_json(CaseFrames(given).packet).first()[1]
+    text = packet_json(CaseFrames(given).pages).first()[1]
     assert "party_name" not in text and '"tx_summary":{}' in text
 
 
@@ -189,6 +190,20 @@ def test_packet_has_the_first_page_and_the_rest_is_beside_it(spark):
     assert rest[0].case_id == row.case_id
 
 
+def test_json_holds_every_alert(spark):
+    rows = [alert(f"a{i}", alert_timestamp_ms_utc=i) for i in range(5)] + [alert("b", party="P2")]
+    texts = packet_json(CaseFrames(inputs(spark, alerts=rows), Limits(alert_page=2)).pages).collect()
+    found = {}
+    for r in texts:
+        body = json.loads(r.case_packet_json)
+        assert (body.get("alert_page", 0), body.get("alert_pages", 1)) == (r.page, r.pages)
+        found.setdefault(r.case_id, []).append((r.page, body))
+    for pages in found.values():
+        listed = [a["alert_id"] for _, body in sorted(pages, key=lambda p: p[0]) for a in body["alerts"]]
+        assert len(listed) == pages[0][1]["alerts_summary"]["alerts_count"]
+    assert sorted(len(p) for p in found.values()) == [1, 3]
+
+
 def test_no_further_pages_costs_no_scan(spark):
     given = inputs(spark, alerts=[alert("1")])
     plan = CaseFrames(given).further_alerts._jdf.queryExecution().optimizedPlan().toString()

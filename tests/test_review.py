@@ -53,6 +53,13 @@ CASES = [
     ("{bad", NOT_JSON),
     ("", NOT_JSON),
     (None, NOT_JSON),
+    *[(json.dumps(VALID) + tail, NOT_JSON) for tail in (
+        " Let me know if you need more.", json.dumps(VALID), "\n```", "}", "]", ",", "]}", ", 1", ',"r":1', "], [1", '}, {"r":1'
+    )],
+    ("```json\n" + json.dumps(VALID), NOT_JSON),
+    ("  \n" + json.dumps(VALID) + "\n ", None),
+    (json.dumps(VALID)[:-1] + ', "confidence": 0.5}', None),
+    (json.dumps(VALID)[:-1] + ', "confidence": "high"}', BAD),
     *[(text, NOTHING) for text in ("{}", "[]", "null", "0", "0.0", '""', "false", " {} ")],
     *[(text, BAD) for text in ("[1]", '"text"', "5", "true", '{"a": 1}')],
     *[(changed(**{f: "DROP"}), BAD) for f in VALID if f != "narrative_draft"],

@@ -10,7 +10,7 @@ from caseloom.operators import cases as C
 from caseloom.operators import ranking
 from caseloom.operators.packet import CaseFrames
 from caseloom.operators.ranking import top_n, with_position
-from tests.rows import DAY, alert, inputs
+from tests.rows import DAY, alert, inputs, txn
 
 
 def hot_inputs(spark, rows=60_000):
@@ -72,14 +72,16 @@ def test_window_join_splits_a_hot_party(spark, conf):
     assert sum(n for (p, _), n in counts.items() if p != "HOT") == 20_000
 
 
-def test_parties_without_cases_are_dropped_before_the_shuffle(spark, monkeypatch):
-    given = hot_inputs(spark, 300)
-    few = C.transactions_in_cases(given["transactions"], C.case_index(given["alerts"]))
-    assert "LeftSemi, BuildRight" in few._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(C, "BROADCAST_PARTIES", 5)
-    many = C.transactions_in_cases(given["transactions"], C.case_index(given["alerts"]))
-    assert "LeftSemi" not in many._jdf.queryExecution().executedPlan().toString()
-    assert sorted(few.collect()) == sorted(many.collect())
+def test_rows_are_repeated_for_their_own_partys_levels_only(spark, conf):
+    days = [1, 2, 4, 8, 16, 32, 64, 128, 256, 512]
+    alerts = [alert(f"a{d}", party=f"P{d}", start=0, end=d * DAY - 1) for d in days]
+    txns = [txn(f"t{d}-{i}", party=f"P{d}", ts=i) for d in days for i in range(3)] + [txn("x", party="other")]
+    given = inputs(spark, transactions=txns, alerts=alerts)
+    for limit in ("10485760", "-1"):  # with and without broadcast
+        conf(spark__sql__autoBroadcastJoinThreshold=limit)
+        joined = C.transactions_in_cases(given["transactions"], C.case_index(given["alerts"]))
+        assert sorted(r.txn_id for r in joined.collect()) == sorted(t["txn_id"] for t in txns if t["txn_id"] != "x")
+        assert "explode(_levels" in joined._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_packet_of_a_hot_party_is_whole(spark):

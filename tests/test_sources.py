@@ -90,6 +90,27 @@ def test_corpus(spark, tmp_path):
     assert corpus.read_corpus(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_corpus_names_are_real_and_nothing_is_lost(spark, tmp_path):
+    folder = tmp_path / "corpus"
+    folder.mkdir()
+    names = ["my policy__v2", "100% a+b", "%41", "ä ö", "a__b"]
+    for name in names:
+        write(folder / f"{name}.md", "text")
+    write(folder / "blank.md", "")
+    rows = {r.title: r for r in corpus.read_corpus(spark, str(folder)).collect()}
+    assert set(rows) == {*names, "blank"}
+    assert rows["my policy__v2"].doc_id == "my policy" and rows["blank"].text == ""
+    (folder / "_drafts").mkdir()
+    write(folder / "_drafts" / "deep.md", "x")
+    with pytest.raises(ValueError, match="_drafts/deep.md"):
+        corpus.read_corpus(spark, str(folder))
+
+
+def test_corpus_of_empty_files(spark, tmp_path):
+    write(tmp_path / "one.md", "")
+    assert [r.text for r in corpus.read_corpus(spark, str(tmp_path)).collect()] == [""]
+
+
 def test_contract_lists_violations(spark):
     tables = inputs(
         spark,
