@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.cases import CASE_KEY, DAY_MS, pipe_items, usd, utc_day
 from caseloom.operators.ranking import exact_medians, median_column
+from caseloom.session import stage
 
 # Widest slot of the window join: 2^36 days still fits a BIGINT of milliseconds.
 MAX_LEVEL = 36
@@ -107,8 +108,9 @@ def _total_usd() -> Column:
     return F.sum(whole) + F.sum(F.col("amount_usd") - whole)
 
 
-def alerts_summary(alerts: DataFrame) -> DataFrame:
-    """Counts, risk figures and the distinct models, scenarios and severities."""
+def alerts_summary(alerts: DataFrame, staged: bool = False) -> DataFrame:
+    """Counts, risk figures and the distinct models, scenarios and severities; ``staged`` as in
+    :func:`tx_summary`."""
     summary = alerts.groupBy(*CASE_KEY).agg(
         F.count("*").alias("alerts_count"),
         *[
@@ -121,12 +123,14 @@ def alerts_summary(alerts: DataFrame) -> DataFrame:
         _distinct_sorted("scenario_code").alias("scenario_codes"),
         _distinct_sorted("severity").alias("severities"),
     )
-    return exact_medians(summary, alerts, CASE_KEY, "risk_score", "median_risk_score")
+    summary = stage(summary, "alerts-summary") if staged else summary
+    return exact_medians(summary, alerts, CASE_KEY, "risk_score", "median_risk_score", "alerts_count")
 
 
-def tx_summary(tx_case: DataFrame) -> DataFrame:
-    """Counts, dollars, first and last time, and instruments; counts ``tx_case`` first,
-    so it should be a written table."""
+def tx_summary(tx_case: DataFrame, staged: bool = False) -> DataFrame:
+    """Counts, dollars, first and last time, and instruments; large cases are read a second
+    time, so ``tx_case`` should be a written table.  With ``staged`` the figures are written once
+    before the large cases are looked for in them; without it their keys are counted."""
     summary = tx_case.groupBy(*CASE_KEY).agg(
         F.count("*").alias("txn_count_case"),
         _total_usd().alias("amount_total_usd_case"),
@@ -137,7 +141,10 @@ def tx_summary(tx_case: DataFrame) -> DataFrame:
         F.avg("is_international").alias("intl_ratio_case"),
         _distinct_sorted("instrument_type").alias("instrument_types_case"),
     )
-    return exact_medians(summary, tx_case, CASE_KEY, "amount_usd", "median_amount_usd_case")
+    summary = stage(summary, "tx-summary") if staged else summary
+    return exact_medians(
+        summary, tx_case, CASE_KEY, "amount_usd", "median_amount_usd_case", "txn_count_case"
+    )
 
 
 def _totals_by(tx_case: DataFrame, *columns: str, extra: tuple[Column, ...] = ()) -> DataFrame:

@@ -87,7 +87,7 @@ class CaseFrames:
 
     @cached_property
     def alerts_summary(self) -> DataFrame:
-        return C.alerts_summary(self.alerts_case)
+        return C.alerts_summary(self.alerts_case, self._staged)
 
     @cached_property
     def alert_pages(self) -> DataFrame:
@@ -100,7 +100,7 @@ class CaseFrames:
 
     @cached_property
     def tx_summary(self) -> DataFrame:
-        return C.tx_summary(self.tx_case)
+        return C.tx_summary(self.tx_case, self._staged)
 
     @cached_property
     def instrument_breakdown(self) -> DataFrame:

@@ -46,31 +46,37 @@ def median_column(column: str) -> Column:
 
 
 def exact_medians(
-    summary: DataFrame, df: DataFrame, group: Sequence[str], column: str, median: str
+    summary: DataFrame, df: DataFrame, group: Sequence[str], column: str, median: str, rows: str
 ) -> DataFrame:
     """``summary`` with an exact ``median`` for groups too large for the sketch.
 
-    The values of such groups are numbered across many tasks, and the middle one is
-    found by its number, so the join is as even as the numbers are.
+    ``rows`` is the summary's count of a group's rows, which says what groups are large: a
+    staged summary costs no second pass over ``df`` for that, another one a count of its keys.
+    Equal values of such a group become one
+    row with their number before the shuffle, so a frequent value cannot fill a task.  The
+    values are placed by these numbers across many tasks, and the middle one is found by its place.
     """
-    crowded = crowded_groups(df, group, GROUP_BOUND)
-    if crowded is None:
+    large = summary.where(F.col(rows) > GROUP_BOUND).select(*group)
+    if large.isEmpty():
         return summary
-    values = df.where(F.col(column).isNotNull()).select(*group, column)
-    large = values.join(crowded, list(group), "left_semi")
-    place = F.floor((F.count("*") - 1) / 2).cast("bigint").alias("position")
-    middles = large.groupBy(*group).agg(place)
-    numbered = with_position(large, group, [F.col(column).asc()])
-    found = numbered.join(middles, [*group, "position"]).select(
-        *group, F.col(column).alias("_exact")
-    )
+    values = df.where(F.col(column).isNotNull()).join(large, list(group), "left_semi")
+    counted = values.groupBy(*group, column).agg(F.count("*").alias("_times"))
+    placed = with_position(counted, group, [F.col(column).asc()], "_place", "_times", "_all")
+    middle = F.floor((F.col("_all") - 1) / 2)
+    found = placed.where((F.col("_place") <= middle) & (middle < F.col("_place") + F.col("_times")))
+    found = found.select(*group, F.col(column).alias("_exact"))
     return summary.join(found, list(group), "left").select(
         *[F.coalesce("_exact", c).alias(c) if c == median else F.col(c) for c in summary.columns]
     )
 
 
 def with_position(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], position: str = "position"
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[Column],
+    position: str = "position",
+    weight: str | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Number the rows of every group from 0, also where a group fills many tasks.
 
@@ -79,6 +85,9 @@ def with_position(
     is its offset inside the partition plus the rows of its group in the
     partitions before.  The sorted rows are staged, so the partition numbers
     cannot change between the two uses.  An empty ``group`` numbers all rows.
+
+    With ``weight`` a row stands for that many rows and gets the number of the first.
+    ``total`` names a column for the group's number of rows.
     """
     tag = "_row_tag"
     keys = [F.col(c) for c in group]
@@ -91,21 +100,27 @@ def with_position(
 
     # One row per group and partition: few, as only the groups at a partition's
     # edges can be in more than one.
-    pieces = tagged.groupBy(*group, "_part").agg(
-        F.min(tag).alias("_first"), F.count("*").alias("_rows")
-    )
-    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    size = F.count("*") if weight is None else F.sum(weight)
+    pieces = tagged.groupBy(*group, "_part").agg(F.min(tag).alias("_first"), size.alias("_rows"))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select(
         *[F.col(c).alias(f"_g_{c}") for c in group],
         F.col("_part").alias("_g_part"),
         "_first",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        *([F.sum("_rows").over(whole).alias(total)] if total else []),
     )
     match = F.col("_part") == F.col("_g_part")
     for c in group:
         match = match & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    inside = F.col(tag) - F.col("_first")
+    if weight is not None:
+        # A piece is one group's share of one partition.
+        piece = Window.partitionBy(*group, "_part").orderBy(tag)
+        above = F.sum(weight).over(piece.rowsBetween(Window.unboundedPreceding, -1))
+        tagged = tagged.withColumn("_inside", F.coalesce(above, F.lit(0)))
+        inside = F.col("_inside")
     return tagged.join(offsets, match).select(
-        *df.columns, (F.col(tag) - F.col("_first") + F.col("_before")).alias(position)
+        *df.columns, (inside + F.col("_before")).alias(position), *([total] if total else [])
     )

@@ -44,11 +44,26 @@ def numbered_queue(packets: DataFrame) -> DataFrame:
     return with_position(packets.select(*QUEUE_COLUMNS), [], _riskiest_first())
 
 
-def page(packets: DataFrame, limit: int = PAGE_DEFAULT, offset: int = 0) -> DataFrame:
-    """One page of the queue; ``total`` counts all cases."""
+def _page_size(limit: int, offset: int) -> int:
     if limit < 1 or offset < 0:
         raise ValueError("limit must be at least 1 and offset at least 0")
-    limit = min(limit, PAGE_MAX)
+    return min(limit, PAGE_MAX)
+
+
+def stored_page(numbered: DataFrame, limit: int = PAGE_DEFAULT, offset: int = 0) -> DataFrame:
+    """:func:`page` from the written queue, at any depth: the filter on ``position`` reaches
+    the scan, and nothing is sorted but the page."""
+    limit = _page_size(limit, offset)
+    total = numbered.select(F.count("*")).scalar()
+    place = F.col("position")
+    rows = numbered.where((place >= offset) & (place < offset + limit))
+    return rows.withColumn("total", total).orderBy("position")
+
+
+def page(packets: DataFrame, limit: int = PAGE_DEFAULT, offset: int = 0) -> DataFrame:
+    """One page of the queue; ``total`` counts all cases.  Where the queue is written,
+    :func:`stored_page` is cheaper for deep pages."""
+    limit = _page_size(limit, offset)
     total = packets.select(F.count("*")).scalar()
     if offset + limit <= SHALLOW:
         rows = queue(packets).offset(offset).limit(limit)

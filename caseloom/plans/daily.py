@@ -8,32 +8,57 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from caseloom import schemas
 from caseloom.operators.packet import CaseFrames, Limits, packet_json, paged
 from caseloom.operators.triage import numbered_queue
-from caseloom.session import build_session
-from caseloom.sources.datasets import read_dataset, read_inputs, write_by_case
+from caseloom.session import build_session, staging, stored_bytes
+from caseloom.sources import contract
+from caseloom.sources.datasets import file_count, read_dataset, read_inputs, write_by_case
 
 log = logging.getLogger(__name__)
 
 
 def run(
-    spark: SparkSession, inputs: Mapping[str, DataFrame], out: str, limits: Limits = Limits()
+    spark: SparkSession,
+    inputs: Mapping[str, DataFrame],
+    out: str,
+    limits: Limits = Limits(),
+    files: int | None = None,
+    checked: bool = True,
 ) -> None:
-    """Write the packet, its JSON form, further alert pages, timeline and queue.
+    """Write the packet, its JSON form, further alert pages, timeline, queue and contract.
 
     The packet is computed once; its JSON form, in which every alert is, and the queue are
-    made from the written datasets.
+    made from the written datasets.  ``files`` is the number of files of a dataset laid out by
+    case; without it, it follows from the size of the staged case transactions.  The contract
+    is the check of inputs and outputs, which reads each of them once more; ``checked=False``
+    leaves it out.  What the run stages is deleted at its end.
     """
-    frames = CaseFrames(inputs, limits)
-    write_by_case(frames.packet, f"{out}/case_packet")
+    with staging(spark) as staged:
+        frames = CaseFrames(inputs, limits)
+        if files is None:
+            frames.tx_case  # staged here
+            files = file_count(spark, sum(stored_bytes(spark, path) for path in staged()))
+        _write(spark, frames, out, files)
+    if checked:
+        tables = dict(inputs)
+        for name in schemas.OUTPUTS:
+            tables[name] = spark.read.parquet(f"{out}/{name}")
+        contract.check(tables).coalesce(1).write.mode("overwrite").parquet(f"{out}/contract")
+
+
+def _write(spark: SparkSession, frames: CaseFrames, out: str, files: int) -> None:
+    write_by_case(frames.packet, f"{out}/case_packet", files)
     packet = read_dataset(spark, out, "case_packet")
     # Pages of one case are many and large, so they stay spread as they are.
     further = frames.further_alerts
     further.write.mode("overwrite").parquet(f"{out}/case_further_alerts")
     further = spark.read.schema(further.schema).parquet(f"{out}/case_further_alerts")
-    write_by_case(packet_json(paged(packet, further)), f"{out}/case_packet_json")
-    write_by_case(frames.timeline_daily, f"{out}/tx_timeline_daily")
-    numbered_queue(packet).write.mode("overwrite").parquet(f"{out}/case_queue")
+    write_by_case(packet_json(paged(packet, further)), f"{out}/case_packet_json", files)
+    write_by_case(frames.timeline_daily, f"{out}/tx_timeline_daily", files)
+    # By position, so that a page's filter leaves one file or two to read.
+    queue = numbered_queue(packet).repartitionByRange("position").sortWithinPartitions("position")
+    queue.write.mode("overwrite").parquet(f"{out}/case_queue")
 
 
 def main() -> None:
@@ -41,12 +66,15 @@ def main() -> None:
     parser.add_argument("--base-path", default="data", help="folder with the input CSV files")
     parser.add_argument("--output-base", help="folder for the datasets (default: the base path)")
     parser.add_argument("--match-header", action="store_true", help="reject re-ordered headers")
+    parser.add_argument("--files", type=int, help="files per dataset (default: by size)")
+    parser.add_argument("--no-contract", action="store_true", help="do not check the tables")
     args = parser.parse_args()
     logging.basicConfig(level=logging.INFO)
     spark = build_session("caseloom-daily")
     out = args.output_base or args.base_path
     try:
-        run(spark, read_inputs(spark, args.base_path, args.match_header), out)
+        inputs = read_inputs(spark, args.base_path, args.match_header)
+        run(spark, inputs, out, files=args.files, checked=not args.no_contract)
         log.info("datasets written to %s", out)
     finally:
         spark.stop()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from caseloom.operators import evidence as E
-from caseloom.operators.packet import CaseFrames, packet_json, paged, with_case_id
+from caseloom.operators.packet import CaseFrames, packet_json, with_case_id
 
 # Views over other views.  Lists are opened into one row per item.
 _CASE_COLUMNS = "case_id, party_id"
@@ -40,27 +43,44 @@ SQL_VIEWS = {
 }
 
 
-def register_views(spark: SparkSession, frames: CaseFrames) -> None:
-    """Create every per-case frame and view under its name in the session."""
-    packet = frames.packet
-    tables: dict[str, DataFrame] = {
-        "case_index": with_case_id(frames.cases),
-        "case_party": with_case_id(frames.case_party),
-        "alerts_case": with_case_id(frames.alerts_case),
-        "alerts_summary": with_case_id(frames.alerts_summary),
-        "alerts_details": with_case_id(frames.alert_pages),
-        "tx_case": with_case_id(frames.tx_case),
-        "tx_summary": with_case_id(frames.tx_summary),
-        "tx_instrument_breakdown": with_case_id(frames.instrument_breakdown),
-        "top_counterparties_enriched": with_case_id(E.counterparty_list(frames.top_counterparties)),
-        "top_merchants_enriched": with_case_id(E.merchant_list(frames.top_merchants)),
-        "supporting_txn_ids": with_case_id(frames.supporting_ids),
-        "supporting_tx_packet": with_case_id(E.supporting_list(frames.supporting_transactions)),
-        "case_packet": packet,
-        "packet_for_llm": packet_json(paged(packet, frames.further_alerts)),
-        "v_tx_timeline_daily": frames.timeline_daily,
+def _frames(frames: CaseFrames) -> dict[str, Callable[[], DataFrame]]:
+    """Per-case frames under their view names, each built when it is called for."""
+    return {
+        "case_index": lambda: with_case_id(frames.cases),
+        "case_party": lambda: with_case_id(frames.case_party),
+        "alerts_case": lambda: with_case_id(frames.alerts_case),
+        "alerts_summary": lambda: with_case_id(frames.alerts_summary),
+        "alerts_details": lambda: with_case_id(frames.alert_pages),
+        "tx_case": lambda: with_case_id(frames.tx_case),
+        "tx_summary": lambda: with_case_id(frames.tx_summary),
+        "tx_instrument_breakdown": lambda: with_case_id(frames.instrument_breakdown),
+        "top_counterparties_enriched": lambda: with_case_id(
+            E.counterparty_list(frames.top_counterparties)
+        ),
+        "top_merchants_enriched": lambda: with_case_id(E.merchant_list(frames.top_merchants)),
+        "supporting_txn_ids": lambda: with_case_id(frames.supporting_ids),
+        "supporting_tx_packet": lambda: with_case_id(
+            E.supporting_list(frames.supporting_transactions)
+        ),
+        "case_packet": lambda: frames.packet,
+        "packet_for_llm": lambda: packet_json(frames.pages),
+        "v_tx_timeline_daily": lambda: frames.timeline_daily,
     }
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    for name, sql in SQL_VIEWS.items():
+
+
+def register_views(
+    spark: SparkSession, frames: CaseFrames, names: Iterable[str] | None = None
+) -> None:
+    """Create the named views in the session, or all; only the frames they read are built."""
+    tables = _frames(frames)
+    wanted = {*tables, *SQL_VIEWS} if names is None else set(names)
+    unknown = wanted - {*tables, *SQL_VIEWS}
+    if unknown:
+        raise KeyError(f"no such view: {sorted(unknown)}")
+    views = {name: sql for name, sql in SQL_VIEWS.items() if name in wanted}
+    for name, build in tables.items():
+        read = any(re.search(rf"\b{name}\b", sql) for sql in views.values())
+        if read or name in wanted:
+            build().createOrReplaceTempView(name)
+    for name, sql in views.items():
         spark.sql(sql).createOrReplaceTempView(name)

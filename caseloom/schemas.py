@@ -83,6 +83,15 @@ CASE_PACKET = f"""
     supporting_transactions ARRAY<STRUCT<{TRANSACTION_ITEM}>>
 """
 CASE_PACKET_JSON = "case_id STRING, case_packet_json STRING, page INT, pages INT"
+CASE_FURTHER_ALERTS = f"""
+    case_id STRING, party_id STRING, page INT, alerts ARRAY<STRUCT<{ALERT_ITEM}>>
+"""
+CASE_QUEUE = """
+    case_id STRING, party_id STRING, party_type STRING, party_name STRING,
+    risk_rating STRING, max_risk_score DOUBLE, alerts_count BIGINT, txn_count_case BIGINT,
+    amount_total_usd_case DOUBLE, last_txn_ms_utc_case BIGINT,
+    case_window_start_ms_utc BIGINT, case_window_end_ms_utc BIGINT, position BIGINT NOT NULL
+"""
 TX_TIMELINE_DAILY = """
     case_id STRING, party_id STRING, txn_date_utc STRING, instrument_type STRING,
     txn_count BIGINT NOT NULL, amount_total_usd DOUBLE
@@ -96,18 +105,25 @@ _DDL = {
     "alerts": ALERTS,
     "case_packet": CASE_PACKET,
     "case_packet_json": CASE_PACKET_JSON,
+    "case_further_alerts": CASE_FURTHER_ALERTS,
     "tx_timeline_daily": TX_TIMELINE_DAILY,
+    "case_queue": CASE_QUEUE,
 }
 
 INPUTS = ("transactions", "parties", "counterparties", "merchants", "alerts")
+OUTPUTS = (
+    "case_packet", "case_packet_json", "case_further_alerts", "tx_timeline_daily", "case_queue",
+)
 
-# Column that must identify one row of each input.
+# Column that must identify one row; other tables have no single one.
 KEYS = {
     "transactions": "txn_id",
     "parties": "party_id",
     "counterparties": "counterparty_id",
     "merchants": "merchant_id",
     "alerts": "alert_id",
+    "case_packet": "case_id",
+    "case_queue": "case_id",
 }
 
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+# Folders staged so far, oldest first.
+_STAGED: list[str] = []
 
 
 def build_session(app_name: str = "caseloom", **conf: str) -> SparkSession:
@@ -59,10 +63,39 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     columns, and a lost executor costs a file read instead of the lineage.
     """
     path = scratch_path(df.sparkSession, name)
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[Callable[[], list[str]]]:
+    """Delete what the block stages when it ends; gives a function that lists the folders.
+
+    Frames made from them must not be read after it.
+    """
+    start = len(_STAGED)
+    try:
+        yield lambda: _STAGED[start:]
+    finally:
+        own = _STAGED[start:]
+        del _STAGED[start:]
+        for path in own:
+            folder, system = _folder(spark, path)
+            system.delete(folder, True)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of the files below a folder."""
+    folder, system = _folder(spark, path)
+    return system.getContentSummary(folder).getLength()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores, for a plain scan of fewer splits than there are cores.
 

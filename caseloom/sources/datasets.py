@@ -20,6 +20,10 @@ CSV_DIALECT = {
 }
 
 
+# Bytes that one sorting and writing task should have.
+FILE_BYTES = 256 << 20
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType, match_header: bool = False
 ) -> DataFrame:
@@ -50,6 +54,13 @@ def read_inputs(spark: SparkSession, base: str, match_header: bool = False) -> d
     }
 
 
+def file_count(spark: SparkSession, size: int = 0) -> int:
+    """Files for a dataset of about ``size`` bytes: a task's share each, and at least as many
+    as there are shuffle partitions."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // FILE_BYTES))
+
+
 def write_by_case(df: DataFrame, path: str, files: int | None = None) -> None:
     """Overwrite a dataset, laid out for reads by case id.
 
@@ -58,7 +69,7 @@ def write_by_case(df: DataFrame, path: str, files: int | None = None) -> None:
     leaves one file's row group to read.
     """
     if files is None:
-        files = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        files = file_count(df.sparkSession)
     head = F.conv(F.substring("case_id", 1, 6), 16, 10).cast("bigint")
     slice_no = F.floor(head * files / F.lit(16**6)).cast("int")
     laid_out = df.repartitionById(files, slice_no).sortWithinPartitions("case_id")

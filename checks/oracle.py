@@ -239,6 +239,21 @@ def _contract() -> str:
         rows.append(
             f"""SELECT '{name}', '{key}', 'unique', count({key}) - count(DISTINCT {key}) FROM fx_{name}"""
         )
+    for name, part in (("case_packet", "packet_full"), ("case_queue", "queue")):
+        rows.append(f"SELECT '{name}', 'case_id', 'unique', count(case_id) - count(DISTINCT case_id) FROM {part}")
+    rows.append("SELECT 'case_queue', 'position', 'required', count(*) - count(position) FROM queue")
+    rows.append("SELECT 'tx_timeline_daily', 'txn_count', 'required', count(*) - count(txn_count) FROM by_day")
+    broken = {
+        ("merchant_id", "required"): "2 * (count(*) - count(merchant_id))",
+        ("merchant_name", "required"): "2 * (count(*) - count(merchant_name))",
+        ("country", "required"): "2 * (count(*) - count(nullif(country, 'US')))",
+        ("merchant_id", "unique"): "2 * count(merchant_id) - count(DISTINCT merchant_id)",
+        ("merchant_category", "missing"): "CAST(max(1) AS BIGINT)",
+        ("extra", "unexpected"): "CAST(max(1) AS BIGINT)",
+        ("state", "type"): "CAST(max(1) AS BIGINT)",
+    }
+    for (column, rule), n in broken.items():
+        rows.append(f"SELECT 'broken merchants', '{column}', '{rule}', {n} FROM fx_merchants")
     return "\nUNION ALL ".join(rows)
 
 
@@ -304,6 +319,8 @@ FROM support_short""",
     "triage_queue": "SELECT * FROM queue",
     "triage_page": """SELECT *, (SELECT count(*) FROM cases) AS total FROM queue
 WHERE position>=25 AND position<525""",
+    "triage_deep_page": """SELECT *, (SELECT count(*) FROM cases) AS total FROM queue
+WHERE position>=300 AND position<800""",
     "top_risk_cases": """SELECT case_id, party_id, max_risk_score, alerts_count, txn_count_case, amount_total_usd_case
 FROM packet_full ORDER BY max_risk_score DESC NULLS LAST, case_id LIMIT 20""",
     "case_counterparties": """SELECT t.* EXCLUDE (rnk, case_window_start_ms_utc, case_window_end_ms_utc)

@@ -61,8 +61,6 @@ def written(spark: SparkSession, sf: str, name: str) -> DataFrame:
         out = scratch_path(spark, "datasets")
         daily.run(spark, inputs(spark, sf), out)
         _WRITTEN[key] = out
-    if name == "case_queue":
-        return spark.read.parquet(f"{_WRITTEN[key]}/{name}")
     return datasets.read_dataset(spark, _WRITTEN[key], name)
 
 
@@ -128,7 +126,16 @@ def policy_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def schema_contract(spark: SparkSession, sf: str) -> DataFrame:
-    return contract.check(inputs(spark, sf))
+    """All inputs and outputs, and merchants that break each rule."""
+    tables = inputs(spark, sf)
+    merchants = tables["merchants"]
+    for name in schemas.OUTPUTS:
+        tables = {**tables, name: written(spark, sf, name)}
+    broken = merchants.unionByName(merchants).drop("merchant_category").withColumns(
+        {"state": F.lit(1), "extra": F.lit(1), "country": F.nullif("country", F.lit("US"))}
+    )
+    found = contract.check({"merchants": broken}).withColumn("table", F.lit("broken merchants"))
+    return contract.check(tables).unionByName(found)
 
 
 @register
@@ -338,6 +345,12 @@ def triage_page(spark: SparkSession, sf: str) -> DataFrame:
     return page.withColumn("amount_total_usd_case", usd6("amount_total_usd_case"))
 
 
+@register
+def triage_deep_page(spark: SparkSession, sf: str) -> DataFrame:
+    page = triage.stored_page(written(spark, sf, "case_queue"), limit=500, offset=300)
+    return page.withColumn("amount_total_usd_case", usd6("amount_total_usd_case"))
+
+
 @register
 def top_risk_cases(spark: SparkSession, sf: str) -> DataFrame:
     top = triage.highest_risk(written(spark, sf, "case_packet"))
@@ -353,7 +366,7 @@ def case_counterparties(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _view(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    register_views(spark, frames(spark, sf, staged=True))
+    register_views(spark, frames(spark, sf, staged=True), [name])
     return spark.table(name)
 
 

@@ -97,12 +97,27 @@ def test_medians_of_large_groups_are_exact(spark, monkeypatch):
     summary = df.groupBy("g").agg(ranking.median_column("v").alias("m"), F.count("*").alias("n"))
     for bound in (10_000, 500, 5):
         monkeypatch.setattr(ranking, "GROUP_BOUND", bound)
-        got = {r.g: (r.m, r.n) for r in ranking.exact_medians(summary, df, ["g"], "v", "m").collect()}
+        got = {r.g: (r.m, r.n) for r in ranking.exact_medians(summary, df, ["g"], "v", "m", "n").collect()}
         for g in "xy":
             values = sorted(v for k, v in rows if k == g and v is not None)
             assert got[g] == (values[(len(values) - 1) // 2], sum(k == g for k, _ in rows))
 
 
+def test_a_frequent_value_is_one_row_before_values_are_placed(spark, monkeypatch):
+    # One group, nine of ten values equal.
+    df = spark.range(20_000).select(
+        F.lit("x").alias("g"), F.when(F.col("id") % 10 > 0, 35.0).otherwise(F.col("id") / 7).alias("v")
+    )
+    placed = []
+    number = ranking.with_position
+    monkeypatch.setattr(ranking, "GROUP_BOUND", 100)
+    monkeypatch.setattr(ranking, "with_position", lambda d, *a: placed.append(d.count()) or number(d, *a))
+    summary = df.groupBy("g").agg(ranking.median_column("v").alias("m"), F.count("*").alias("n"))
+    row = ranking.exact_medians(summary, df, ["g"], "v", "m", "n").first()
+    assert (row.m, row.n) == (35.0, 20_000)
+    assert placed == [df.select("v").distinct().count()]
+
+
 @pytest.mark.parametrize("n", [4_999, 5_001, 9_999, 10_000])
 def test_sketch_is_exact_up_to_the_bound(spark, n):
     df = spark.range(n).select((F.col("id") * 7919 % 104_729).cast("double").alias("v"))

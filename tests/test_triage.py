@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from caseloom import schemas, session
 from caseloom.operators import triage
 from caseloom.operators.packet import CaseFrames, Limits
 from caseloom.plans import daily
@@ -72,6 +73,34 @@ def test_page_bounds(packets):
             triage.page(packets, limit, offset)
 
 
+def test_pages_of_the_written_queue(spark, packets, out):
+    numbered = datasets.read_dataset(spark, out, "case_queue")
+    wanted = [r.case_id for r in expected_order(packets)]
+    for limit, offset in [(3, 0), (2, 5), (50, 6), (5, 7)]:
+        rows = triage.stored_page(numbered, limit, offset).collect()
+        assert [r.case_id for r in rows] == wanted[offset : offset + limit]
+        assert all(r.total == 7 for r in rows)
+    plan = triage.stored_page(numbered, 2, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(position,5)" in plan
+
+
+def test_the_job_checks_its_tables_and_clears_its_scratch(spark, given, out, tmp_path):
+    found = spark.read.parquet(f"{out}/contract")
+    outputs = found.where(F.col("table").isin(*schemas.OUTPUTS)).collect()
+    assert {(r.table, r.rule) for r in outputs} == {
+        ("case_packet", "unique"), ("case_queue", "unique"),
+        ("case_queue", "required"), ("tx_timeline_daily", "required"),
+    }
+    assert all(r.violations == 0 for r in outputs)
+    with session.staging(spark) as staged:
+        daily.run(spark, given, str(tmp_path / "again"), files=3, checked=False)
+        assert staged() == []
+        frame = session.stage(spark.range(3), "rows")
+        assert frame.count() == 3 and session.stored_bytes(spark, staged()[0]) > 0
+    assert not spark._jvm.java.io.File(frame.inputFiles()[0].removeprefix("file://")).exists()
+    assert not (tmp_path / "again" / "contract").exists()
+
+
 def test_page_size_is_clamped(packets, monkeypatch):
     monkeypatch.setattr(triage, "PAGE_MAX", 2)
     assert triage.page(packets, 100).count() == 2
@@ -124,3 +153,12 @@ def test_every_view_answers(spark, given):
     assert top.party_id == "P3"
     opened = spark.sql("SELECT counterparty_id, txn_count FROM v_top_counterparties WHERE party_id = 'P0'")
     assert [tuple(r) for r in opened.collect()] == [("C1", 2)]
+
+
+def test_a_view_builds_only_what_it_reads(spark, given):
+    frames = CaseFrames(given)
+    register_views(spark, frames, ["v_alert_summary"])
+    assert spark.table("v_alert_summary").count() == 7
+    assert "packet" not in vars(frames) and "tx_case" not in vars(frames)
+    with pytest.raises(KeyError):
+        register_views(spark, frames, ["v_nothing"])
