@@ -6,7 +6,12 @@ differ between the two.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from caseloom import schemas
 from caseloom.session import scratch_path, spread
@@ -93,28 +98,44 @@ SELECT concat('D',doc_id) AS doc_id, 'v1' AS version,
   {headed_text} AS text
 FROM documents""",
     "fx_files": """
-SELECT concat('/corpus/',source,'/D',doc_id, CASE WHEN source='src7' THEN '.html'
+SELECT concat('/corpus/',source,'/D',doc_id,
+  CASE doc_id%5 WHEN 1 THEN ' of two' WHEN 2 THEN '%20x' WHEN 3 THEN '+a_b' ELSE '' END,
+  CASE WHEN source='src7' THEN '.html'
   WHEN lang='en' THEN '__v2.md' WHEN lang='de' THEN '.TXT' WHEN lang='fr' THEN '__v1__v3.markdown'
-  ELSE '.notes.Md' END) AS path, text
+  ELSE '.notes.Md' END) AS path, CASE WHEN doc_id%50=7 THEN '' ELSE text END AS text
 FROM documents""",
     "fx_amended_docs": """
 SELECT p.doc_id, p.version,
   concat(p.text,chr(10),'## Amendment',chr(10),'Reviewed text of ',p.doc_id) AS text
 FROM fx_policy_docs p JOIN documents d ON p.doc_id=concat('D',d.doc_id) WHERE d.lang='en'""",
     "fx_responses": """
-SELECT concat('E',event_id) AS case_id, CASE WHEN event_id%8=1 THEN '{{bad'
-  WHEN event_id%8=2 THEN '{{}}' ELSE concat(
+SELECT concat('E',event_id) AS case_id, CASE WHEN event_id%16=1 THEN '{{bad'
+  WHEN event_id%16=2 THEN '{{}}' ELSE concat(
+  CASE event_id%16 WHEN 10 THEN concat('```json',chr(10)) WHEN 14 THEN concat(' ',chr(10)) ELSE '' END,
   '{{"case_summary":"s","key_indicators":[{{"text":"t"',
-  CASE WHEN event_id%8=5 THEN '' ELSE ',"evidence_refs":["alerts[0]"]' END,
-  '}}],"benign_explanations_to_rule_out":[{{"text":"b","policy_citations":["c"]}}],',
+  CASE WHEN event_id%16=5 THEN '' ELSE ',"evidence_refs":["alerts[0]"]' END,
+  '}}],"benign_explanations_to_rule_out":[{{"text":"b"',
+  CASE WHEN event_id%16=12 THEN '' ELSE ',"policy_citations":["c"]' END, '}}],',
   '"policy_mapping":[{{"policy_ref":"p","rationale":"r","citations":',
-  CASE WHEN event_id%8=6 THEN '[]' ELSE '[{{"citation":"c"}}]' END,
+  CASE WHEN event_id%16=6 THEN '[]' ELSE '[{{"citation":"c"}}]' END,
   '}}],"missing_information":[{{"text":"m"}}],"recommended_disposition":"file"',
-  CASE event_id%8 WHEN 3 THEN '' WHEN 4 THEN ',"confidence":"0.5"'
+  CASE event_id%16 WHEN 3 THEN '' WHEN 4 THEN ',"confidence":"0.5"'
     ELSE ',"confidence":0.5' END,
   ',"uncertainty_reasons":["u"],"investigator_next_steps":[{{"text":"n"',
-  CASE WHEN event_id%8=7 THEN '' ELSE ',"evidence_refs":["x"]' END, '}}]}}') END AS raw_response
+  CASE WHEN event_id%16=7 THEN '' ELSE ',"evidence_refs":["x"]' END, '}}]}}',
+  CASE event_id%16 WHEN 8 THEN concat(chr(10),'Let me know if you need more.')
+    WHEN 9 THEN '{{"case_summary":"again"}}' WHEN 10 THEN concat(chr(10),'```') WHEN 11 THEN ','
+    WHEN 13 THEN '}}' WHEN 14 THEN concat(chr(10),' ') WHEN 15 THEN ']' ELSE '' END) END AS raw_response
 FROM events""",
+    "fx_case_responses": """
+SELECT case_id, concat('{{"case_summary":"Summary of ',case_id,
+  '","key_indicators":[{{"text":"t","evidence_refs":["alerts[0]"]}}],',
+  '"benign_explanations_to_rule_out":[{{"text":"b"',
+  CASE WHEN right(case_id,1)='0' THEN '' ELSE ',"policy_citations":["c"]' END, '}}],',
+  '"policy_mapping":[{{"policy_ref":"p","rationale":"r","citations":[{{"citation":"c"}}]}}],',
+  '"missing_information":[],"recommended_disposition":"file","confidence":0.5,',
+  '"uncertainty_reasons":[],"investigator_next_steps":[{{"text":"n","evidence_refs":["x"]}}]}}') AS raw_response
+FROM cases""",
 }
 
 _DAY = "CAST(o_orderdate AS DATE)"
@@ -163,6 +184,22 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(fixture_sql(name, SPARK_SPELLING))
 
 
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write the text of each row under its path below ``folder``, a file per row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = pa.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+        for batch in batches:
+            for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name = root + path
+                system.create_dir(name.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(name) as out:
+                    out.write((text or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
+    files.select("path", "text").mapInArrow(work, "files long").agg(F.sum("files")).collect()
+
+
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 

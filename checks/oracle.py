@@ -257,6 +257,35 @@ def _contract() -> str:
     return "\nUNION ALL ".join(rows)
 
 
+_PARSED = "CASE WHEN json_valid(raw_response) THEN CAST(raw_response AS JSON) END"
+
+
+def _verdict() -> str:
+    """What is wrong with the JSON value ``j`` of a response."""
+    kinds = {
+        "VARCHAR": ("case_summary", "recommended_disposition"),
+        "ARRAY": (
+            "key_indicators", "benign_explanations_to_rule_out", "policy_mapping", "missing_information",
+            "uncertainty_reasons", "investigator_next_steps",
+        ),
+        "DOUBLE": ("confidence",),
+    }
+    fits = [f"json_type(j,'$.{n}') IS NOT DISTINCT FROM '{kind}'" for kind, names in kinds.items() for n in names]
+
+    def lacks(field: str, *lists: str) -> str:
+        none = " AND ".join(f"coalesce(json_array_length(x,'$.{n}'),0)=0" for n in lists)
+        return f"len(list_filter(CAST(json_extract(j,'$.{field}[*]') AS JSON[]), lambda x: {none}))>0"
+
+    cited = ("evidence_refs", "policy_citations")
+    return f"""CASE WHEN j IS NULL THEN 'LLM output is not valid JSON'
+  WHEN json_type(j)='OBJECT' AND len(json_keys(j))=0 THEN 'LLM output missing required fields'
+  WHEN NOT ({" AND ".join(fits)}) THEN 'LLM output failed JSON schema validation'
+  WHEN {lacks("key_indicators", *cited)} THEN 'Key indicator missing citations'
+  WHEN {lacks("benign_explanations_to_rule_out", *cited)} THEN 'Benign explanation missing citations'
+  WHEN {lacks("investigator_next_steps", *cited)} THEN 'Next step missing citations'
+  WHEN {lacks("policy_mapping", "citations")} THEN 'Policy mapping missing citations' END"""
+
+
 _TOTAL = "* REPLACE (round(amount_total_usd,6) AS amount_total_usd)"
 _HIGH = "case_id IN (SELECT case_id FROM cased_alerts WHERE severity='high')"
 _KEYED = "window_start_ms_utc AS case_window_start_ms_utc, window_end_ms_utc AS case_window_end_ms_utc"
@@ -358,28 +387,35 @@ FROM (SELECT case_id, alert_id, n, CAST(n//2 AS INT) AS page, CAST((total+1)//2
   CAST(length(text) AS INT) AS chars, round(score,6) AS score
 FROM all_hits JOIN unique_chunks USING (chunk_id)""",
     "index_stats": """SELECT (SELECT count(*) FROM fx_policy_docs) AS documents, (SELECT count(*) FROM chunks) AS chunks""",
+    "policy_index_run": """SELECT 'document' AS kind, o.doc_id,
+  CASE WHEN n.doc_id IS NULL THEN '/1/'||o.doc_id ELSE '/2/'||o.doc_id END AS entry,
+  sha256(coalesce(n.text,o.text)) AS content_hash
+FROM fx_policy_docs o LEFT JOIN fx_amended_docs n ON o.doc_id=n.doc_id AND o.version=n.version
+WHERE EXISTS (SELECT 1 FROM chunks c WHERE c.doc_id=o.doc_id AND c.version=o.version) OR n.doc_id IS NOT NULL
+UNION ALL SELECT 'chunk', doc_id, chunk_id, sha256(text)
+FROM (SELECT * FROM chunks UNION SELECT * FROM amended_chunks)""",
     "policy_upsert": """SELECT 'document' AS kind, o.doc_id,
   CASE WHEN n.doc_id IS NULL THEN '/old/'||o.doc_id ELSE '/new/'||o.doc_id END AS entry,
   sha256(coalesce(n.text,o.text)) AS content_hash
 FROM fx_policy_docs o LEFT JOIN fx_amended_docs n ON o.doc_id=n.doc_id AND o.version=n.version
 UNION ALL SELECT 'chunk', doc_id, chunk_id, sha256(text)
 FROM (SELECT * FROM chunks UNION SELECT * FROM amended_chunks)""",
-    "copilot_prompts": """SELECT f.case_id, 'v1' AS prompt_version, f.party_id, f.alerts_count,
-  CAST(f.alerts_count AS INT) AS alerts, chunks, documents, 9 AS required_fields
-FROM alert_figures f JOIN (SELECT query_id, string_agg(chunk_id,',' ORDER BY rank) AS chunks,
-    string_agg(doc_id,',' ORDER BY rank) AS documents
-  FROM case_hits JOIN unique_chunks USING (chunk_id) GROUP BY query_id) h ON h.query_id=f.case_id""",
-    "copilot_validation": """SELECT 'E'||event_id AS case_id, CASE event_id%8
-  WHEN 1 THEN 'LLM output is not valid JSON' WHEN 2 THEN 'LLM output missing required fields'
-  WHEN 3 THEN 'LLM output failed JSON schema validation' WHEN 4 THEN 'LLM output failed JSON schema validation'
-  WHEN 5 THEN 'Key indicator missing citations' WHEN 6 THEN 'Policy mapping missing citations'
-  WHEN 7 THEN 'Next step missing citations' END AS error FROM events""",
-    "copilot_runs": """SELECT concat('E',event_id,'_',epoch) AS run_id, concat('E',event_id) AS case_id,
-  props AS user_message, raw_response, 'v1' AS prompt_version, 'drafting-model' AS model,
+    "copilot_prompts": "SELECT *, 9 AS required_fields FROM prompted",
+    "copilot_validation": f"SELECT case_id, {_verdict()} AS error FROM (SELECT *, {_PARSED} AS j FROM fx_responses)",
+    "copilot_runs": f"""SELECT concat(r.case_id,'_',epoch) AS run_id, r.case_id, p.party_id, p.alerts_count,
+  p.alerts, p.chunks, 'Summary of '||r.case_id AS case_summary, CAST(len(json_keys(j)) AS INT) AS answered_fields,
+  raw_response, 'v1' AS prompt_version, 'drafting-model' AS model,
   strftime(make_timestamp(epoch*1000000),'%Y-%m-%d') AS run_date
-FROM events JOIN fx_responses ON case_id=concat('E',event_id), (SELECT CAST(unnest([1700000000,1700100000]) AS BIGINT) AS epoch)
-WHERE event_id%8=0""",
+FROM (SELECT *, {_PARSED} AS j FROM fx_case_responses) r JOIN prompted p ON p.case_id=r.case_id,
+  (SELECT CAST(unnest([1700000000,1700100000]) AS BIGINT) AS epoch)
+WHERE {_verdict()} IS NULL""",
 }
+PARTS["prompted"] = """
+SELECT f.case_id, 'v1' AS prompt_version, f.party_id, f.alerts_count,
+  CAST(f.alerts_count AS INT) AS alerts, chunks, documents
+FROM alert_figures f JOIN (SELECT query_id, string_agg(chunk_id,',' ORDER BY rank) AS chunks,
+    string_agg(doc_id,',' ORDER BY rank) AS documents
+  FROM case_hits JOIN unique_chunks USING (chunk_id) GROUP BY query_id) h ON h.query_id=f.case_id"""
 PARTS["doc_w"] = _weights("documents", "doc_id", "text")
 PARTS["vec"] = """
 SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,

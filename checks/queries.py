@@ -16,12 +16,12 @@ from caseloom.operators import evidence as E
 from caseloom.operators import policy, review, triage
 from caseloom.operators.nearest import nearest
 from caseloom.operators.packet import CaseFrames, Limits, packet_json, with_case_id
-from caseloom.plans import daily
+from caseloom.plans import daily, policy_index
 from caseloom.plans.views import register_views
 from caseloom.session import scratch_path, stage
 from caseloom.sources import contract, corpus, datasets
 
-from checks.fixtures import fixture, inputs, table
+from checks.fixtures import fixture, inputs, table, write_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,9 +117,13 @@ def timeline_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def policy_docs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = corpus.documents(fixture(spark, sf, "fx_files"))
+    """Files with blanks, percent and plus signs in their names, some of them empty."""
+    folder = scratch_path(spark, "files") + "/corpus"
+    write_files(fixture(spark, sf, "fx_files"), folder.removesuffix("/corpus"))
+    docs = corpus.read_corpus(spark, folder)
+    below = F.concat(F.lit("/corpus/"), F.substring_index("source_path", "/corpus/", -1))
     return docs.select(
-        "doc_id", "version", "title", "source_path",
+        "doc_id", "version", "title", below.alias("source_path"),
         F.sha2("text", 256).alias("content_hash"), F.length("text").alias("chars"),
     )
 
@@ -506,6 +510,27 @@ def policy_upsert(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register
+def policy_index_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored index after two generations: all documents, then the amended English ones."""
+    root = scratch_path(spark, "policy")
+    for generation, name in (("1", "fx_policy_docs"), ("2", "fx_amended_docs")):
+        docs = fixture(spark, sf, name).withColumns(
+            {"title": F.col("doc_id"), "source_path": F.concat(F.lit(f"/{generation}/"), F.col("doc_id"))}
+        )
+        policy_index.update(spark, docs, root, generation)
+    documents = spark.read.parquet(f"{root}/2/documents")
+    return documents.select(
+        F.lit("document").alias("kind"), "doc_id", F.col("source_path").alias("entry"),
+        "content_hash",
+    ).unionByName(
+        policy_index.read_index(spark, root).select(
+            F.lit("chunk").alias("kind"), "doc_id", F.col("chunk_id").alias("entry"),
+            F.sha2("text", 256).alias("content_hash"),
+        )
+    )
+
+
 # --- drafted summaries --------------------------------------------------------------
 
 
@@ -540,13 +565,22 @@ def copilot_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def copilot_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Two runs appended to one log."""
-    checked = review.validate(fixture(spark, sf, "fx_responses"))
-    prompted = table(spark, sf, "events").select(
-        F.concat(F.lit("E"), F.col("event_id")).alias("case_id"),
-        F.col("props").alias("user_message"),
-    )
+    """Two runs for all cases appended to one log, with the packets and passages of their prompts."""
+    packets = written(spark, sf, "case_packet")
+    queries = policy.case_queries(packets).withColumnRenamed("case_id", "query_id")
+    prompted = stage(review.prompts(packets, policy.passages(queries, _policy_index(spark, sf))), "prompts")
+    packets.select("case_id").createOrReplaceTempView("cases")
+    checked = review.validate(fixture(spark, sf, "fx_case_responses"))
     path = scratch_path(spark, "runs")
     for epoch in RUN_EPOCHS:
         review.append_runs(review.run_log(checked, prompted, MODEL, epoch), path)
-    return spark.read.parquet(path).withColumn("run_date", F.col("run_date").cast("string"))
+    shape = "party_id STRING, alerts_count BIGINT, alerts ARRAY<STRING>"
+    read = F.from_json("packet", shape)
+    chunks = F.from_json("policy_passages", "ARRAY<STRUCT<chunk_id: STRING>>")["chunk_id"]
+    return spark.read.parquet(path).select(
+        "run_id", "case_id", read["party_id"].alias("party_id"), read["alerts_count"].alias("alerts_count"),
+        F.size(read["alerts"]).alias("alerts"), F.array_join(chunks, ",").alias("chunks"),
+        F.get_json_object("response", "$.case_summary").alias("case_summary"),
+        F.size(F.json_object_keys("response")).alias("answered_fields"),
+        "raw_response", "prompt_version", "model", F.col("run_date").cast("string").alias("run_date"),
+    )

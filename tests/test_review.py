@@ -135,10 +135,25 @@ def test_runs_are_appended(spark, tmp_path):
     responses = spark.createDataFrame(
         [("a", json.dumps(VALID)), ("b", "{}")], "case_id string, raw_response string"
     )
-    prompted = spark.createDataFrame([("a", "m")], "case_id string, user_message string")
+    prompted = spark.createDataFrame([("a", "{}", "[]")], "case_id string, packet string, policy_passages string")
     path = str(tmp_path / "runs")
     for epoch in (5, 86_400 + 5):
         log = review.run_log(review.validate(responses), prompted, "model", epoch)
         review.append_runs(log, path)
     rows = spark.read.parquet(path).orderBy("run_id").collect()
     assert [(r.run_id, str(r.run_date)) for r in rows] == [("a_5", "1970-01-01"), ("a_86405", "1970-01-02")]
+    assert all((r.packet, r.policy_passages, r.raw_response) == ("{}", "[]", json.dumps(VALID)) for r in rows)
+    assert all(json.loads(r.response) == VALID for r in rows)
+
+
+def test_runs_of_pages_take_the_packet_of_their_page(spark):
+    responses = spark.createDataFrame(
+        [("a", 0, json.dumps(VALID)), ("a", 1, json.dumps(VALID)), ("b", 0, json.dumps(VALID))],
+        "case_id string, page int, raw_response string",
+    )
+    prompted = spark.createDataFrame(
+        [("a", 0, "zero", "[]"), ("a", 1, "one", "[]")], "case_id string, page int, packet string, policy_passages string"
+    )
+    rows = review.run_log(review.validate(responses), prompted, "model", 7).collect()
+    assert sorted((r.run_id, r.packet) for r in rows if r.packet) == [("a_0_7", "zero"), ("a_1_7", "one")]
+    assert [(r.run_id, r.policy_passages) for r in rows if not r.packet] == [("b_0_7", None)]
