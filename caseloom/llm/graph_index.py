@@ -9,8 +9,8 @@
    reverse edges are pruned alike.
 3. The adjacency lists of all shards are united by class.
 4. Each shard searches for all its classes, on the united lists: best-first from the shard's
-   medoids, then, range-expanding, from every class found in range until nothing in range is
-   unexpanded.  Hits are verified by the cosine in double precision.
+   medoids and the class itself, then, range-expanding, from every class found in range until
+   nothing in range is unexpanded.  Hits are verified by the cosine in double precision.
 5. A pair that is in several cells counts in the smallest of them.  Shards give counts and
    links that connect what is linked, never all pairs of a group.
 
@@ -54,11 +54,12 @@ def _rows(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if width else np.zeros((len(column), 0))
 
 
-def search(x, adjacency, entries, queries, width=WIDTH, reach=None) -> np.ndarray:
+def search(x, adjacency, entries, queries, width=WIDTH, reach=None, own=None) -> np.ndarray:
     """Cosines of each query with each visited row of ``x``; -2 where not visited.
 
     Every query expands its best visited row ``width`` times, then all visited rows with a
-    cosine of ``reach`` at least.
+    cosine of ``reach`` at least.  ``own``: the queries are these rows of ``x``, and each starts
+    from itself as well, so what it was linked to when it was inserted is always seen.
     """
     n, q = len(x), len(queries)
     rows = np.arange(q)
@@ -66,6 +67,8 @@ def search(x, adjacency, entries, queries, width=WIDTH, reach=None) -> np.ndarra
     cosine[:, entries] = queries @ x[entries].T
     open_ = np.full((q, n), -2.0)  # cosine of visited rows that are not expanded
     open_[:, entries] = cosine[:, entries]
+    if own is not None:
+        cosine[rows, own] = open_[rows, own] = 1.0
 
     def expand(who: np.ndarray, what: np.ndarray) -> None:
         open_[who, what] = -2.0
@@ -293,7 +296,8 @@ def _search_shard(table: pa.Table, limit: float) -> pa.Table:
     entries, n = medoids(x), len(x)
     hit = np.zeros((n, n), bool)
     for cut in range(0, n, QUERIES):
-        hit[cut : cut + QUERIES] = search(x, adjacency, entries, x[cut : cut + QUERIES], WIDTH, limit) >= limit
+        own = np.arange(cut, min(cut + QUERIES, n))
+        hit[own] = search(x, adjacency, entries, x[own], WIDTH, limit, own) >= limit
     hit |= hit.T
     np.fill_diagonal(hit, False)
     if crossing:
