@@ -5,7 +5,7 @@
    cells.  A cell of more than ``SHARD`` classes is cut into chunks by hash; each pair of chunks
    is a shard, so no task holds a whole hot cell and no pair of a cell is lost.
 2. Each shard builds a graph: classes are inserted in doubling batches; a greedy search on the
-   graph so far gives the candidates, robust pruning keeps at most ``DEGREE`` of them, and
+   graph so far and the batch itself give the candidates, robust pruning keeps at most ``DEGREE`` of them, and
    reverse edges are pruned alike.
 3. The adjacency lists of all shards are united by class.
 4. Each shard searches for all its classes, on the united lists: best-first from the shard's
@@ -36,6 +36,7 @@ SHARD = 2_048
 OVERLAP = 2
 DEGREE = 24
 POOL = 64  # candidates that pruning looks at
+MATES = 16  # and those of the same batch
 WIDTH = 32  # expansions of a search before only hits are expanded
 MEDOIDS = 8
 ALPHA = 1.2
@@ -157,6 +158,12 @@ def build(x: np.ndarray, seed: int = 10) -> np.ndarray:
         pool = np.argpartition(-cosine, size - 1, axis=1)[:, :size]
         near = np.take_along_axis(cosine, pool, axis=1)
         pool = np.where(near > -1.5, pool, -1)
+        # Rows of one batch are not in the graph yet, so they meet here.
+        among = x[batch] @ x[batch].T
+        np.fill_diagonal(among, -2.0)
+        mates = np.argpartition(-among, min(MATES, len(batch)) - 1, axis=1)[:, :MATES]
+        pool = np.concatenate([pool, np.where(len(batch) > 1, batch[mates], -1)], axis=1)
+        near = np.concatenate([near, np.take_along_axis(among, mates, axis=1)], axis=1)
         adjacency[batch] = prune(x, batch, pool, near)
         # Reverse edges: a point's own list and its nearest new neighbours, pruned together.
         source = np.repeat(batch, DEGREE)
