@@ -7,8 +7,9 @@
    sums gives the directions.  As Y'T does not contain the weights, the same pass counts the
    documents of each term, so the corpus is read once.
 2. Passages that overlap by half are projected into the latent space and compared by cosine
-   with all passages of the benchmark items.  Passages with less than ``KNOWN`` of their words
-   from the benchmark are left out before: they cannot be one in other words either.
+   with all passages of the benchmark items.  Before that, a passage and an item are left out
+   only if the passage's neighbourhood does not have the words that step 3 asks for, so this
+   screen loses nothing.
 3. A document and an item that have a passage pair are verified on the words: the longest
    common subsequence with the neighbourhood of the passages must hold ``SHARE`` of the item,
    and its answer (a given one, else its last words) must be in it to ``ANSWER``.
@@ -37,13 +38,14 @@ STEP = 6  # of document passages
 ITEM_STEP = 3  # of item passages
 RANK = 64
 TERMS = 1 << 16  # columns; words beyond share columns
-KNOWN = 0.75
 COSINE = 0.7
-COMMON = 7 / WINDOW  # of a passage's words, in the item
 SHARE = 0.7
 ANSWER = 0.5
 ANSWER_WORDS = 8
 BENCHMARK_BYTES = 64 << 20
+STARTS = 8_192  # passages, and
+ITEMS = 512  # items that one step of the screen takes
+BLOCK = 8  # passages that it looks at together first
 _PLAIN = bytes(
     (b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 or 48 <= b <= 57 else 32) for b in range(256)
 )
@@ -227,9 +229,64 @@ class Finder:
         self.passages = _unit(np.array(rows, np.float32)) if rows else np.zeros(shape, np.float32)
         self.owner = np.array(owner, np.int64)
         self.first = np.flatnonzero(np.r_[True, self.owner[1:] != self.owner[:-1]][: len(owner)])
-        words = [k * np.int64(known.columns + 1) + known.numbers(item.words) + 1 for k, item in enumerate(known.items)]
-        self.own_words = np.unique(np.concatenate(words)) if words else np.empty(0, np.int64)
         self.often = [Counter(item.words) for item in known.items]
+        # Groups of items of similar length: their largest length, numbers among the long items, words
+        # that each needs, and by column the items that have it and how often.
+        length = np.array([len(known.items[k].words) for k in self.owner[self.first]], np.int64)
+        order, self.groups = np.argsort(length, kind="stable"), []
+        while len(order):
+            cut = min(int(np.searchsorted(length[order], 1.25 * length[order[0]], side="right")), ITEMS)
+            part, order = order[:cut], order[cut:]
+            columns = [known.numbers(known.items[k].words) for k in self.owner[self.first[part]]]
+            item = np.repeat(np.arange(len(part)), length[part])
+            pair, times = np.unique(np.concatenate(columns) * np.int64(len(part)) + item, return_counts=True)
+            ends = np.searchsorted(pair // len(part), np.arange(known.columns + 1))
+            self.groups.append((int(length[part].max()), part, SHARE * length[part], ends, pair % len(part), times))
+
+    def screened(self, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a passage (position in the sorted ``starts``) and a long item (its number among
+        these) whose neighbourhood has enough of the item's words, as in :meth:`verified`.  Looked at
+        first are the neighbourhoods of ``BLOCK`` passages together, which have all the words of each."""
+        at = np.flatnonzero(words >= 0)
+        term = words[at]
+        order = np.argsort(term, kind="stable")
+        same = term[order[1:]] == term[order[:-1]]
+        before = np.full(len(at), -(1 << 40))
+        before[order[1:][same]] = at[order[:-1][same]]  # the same word's last place
+        for low in range(0, len(starts), STARTS):
+            own = starts[low : low + STARTS]
+            head = np.arange(0, len(own), BLOCK)
+            tail = np.minimum(head + BLOCK, len(own)) - 1
+            for group in self.groups:
+                n, part = group[:2]
+                near = slice(*np.searchsorted(at, [own[0] - n, own[-1] + WINDOW + n]))
+                there = at[near], term[near], before[near]
+                block, _ = self._enough(*there, own[head] - n, own[tail] + WINDOW + n, group)
+                if not len(block):
+                    continue
+                block = np.unique(block)
+                fine = (block[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                fine = fine[fine < len(own)]
+                passage, item = self._enough(*there, own[fine] - n, own[fine] + WINDOW + n, group)
+                yield low + fine[passage], part[item]
+
+    @staticmethod
+    def _enough(at, term, before, left, right, group) -> tuple[np.ndarray, np.ndarray]:
+        """Stretches from ``left`` to ``right`` (both sorted) and items of a group, of whose words
+        the stretch has enough: a word counts in the stretches that it is the first of its kind in."""
+        _, part, need, ends, items, times = group
+        first = np.maximum(np.searchsorted(right, at, side="right"), np.searchsorted(left, before, side="right"))
+        last = np.searchsorted(left, at, side="right")
+        many = np.where(first < last, ends[term + 1] - ends[term], 0)
+        turn = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        entry = np.repeat(ends[term], many) + turn
+        cells = (len(left) + 1) * len(part)
+        count = np.zeros(cells)
+        for edge, sign in ((first, 1), (last, -1)):
+            cell = np.repeat(edge, many) * len(part) + items[entry]
+            count += np.bincount(cell, sign * times[entry], cells)
+        count = np.cumsum(count.reshape(-1, len(part))[:-1], axis=0)
+        return np.nonzero(count >= need)
 
     def candidates(self, numbers: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
         """``(text, first word, item)`` of passage pairs with the cosine, for many texts."""
@@ -237,9 +294,6 @@ class Finder:
         for i, number in enumerate(numbers):
             last = max(len(number) - WINDOW, 0)
             starts = np.unique(np.minimum(np.arange(0, last + STEP, STEP), last))
-            sums = np.concatenate([[0], np.cumsum(number >= 0)])
-            ends = np.minimum(starts + WINDOW, len(number))
-            starts = starts[sums[ends] - sums[starts] >= KNOWN * WINDOW]
             of.append(np.full(len(starts), i))
             at.append(starts)
         if not of or not len(self.passages):
@@ -248,20 +302,23 @@ class Finder:
         base = np.cumsum([0, *map(len, numbers)])
         # Passages at the end of a text, or shorter than WINDOW, look up unknown words behind it.
         words = np.concatenate([*numbers, np.full(WINDOW, -1, np.int32)])
-        for low in range(0, len(text), 256):
-            cut = slice(low, low + 256)
+        pairs = list(self.screened(words, base[text] + start))
+        if not pairs:
+            return
+        passage, item = (np.concatenate(p) for p in zip(*pairs, strict=True))
+        order = np.argsort(passage, kind="stable")
+        passage, item = passage[order], item[order]
+        asked = np.unique(passage)
+        for low in range(0, len(asked), 256):
+            cut = asked[low : low + 256]
             place = (base[text[cut]] + start[cut])[:, None] + np.arange(WINDOW)
             number = np.where(place < base[text[cut] + 1][:, None], words[place], -1)
             vector = _unit(self.vectors[number].sum(axis=1))
             best = np.maximum.reduceat(vector @ self.passages.T, self.first, axis=1)
-            hit, item = np.nonzero(best >= COSINE)
-            item = self.owner[self.first[item]]
-            # Passages that share too few words with the item cannot pass the checks.
-            key = item[:, None] * np.int64(self.known.columns + 1) + number[hit] + 1
-            there = self.own_words[np.minimum(np.searchsorted(self.own_words, key), len(self.own_words) - 1)] == key
-            same = (there & (number[hit] >= 0)).sum(axis=1) >= COMMON * WINDOW
-            hit, item = low + hit[same], item[same]
-            yield from zip(text[hit].tolist(), start[hit].tolist(), item.tolist(), strict=True)
+            own = slice(*np.searchsorted(passage, [cut[0], cut[-1] + 1]))
+            near = best[np.searchsorted(cut, passage[own]), item[own]] >= COSINE
+            hit, found = passage[own][near], self.owner[self.first[item[own][near]]]
+            yield from zip(text[hit].tolist(), start[hit].tolist(), found.tolist(), strict=True)
 
     def verified(self, words: list[bytes], item: int, starts: list[int]) -> tuple[float, float, int, int] | None:
         """Shares of the item and of its answer in the neighbourhood of passages, and the
