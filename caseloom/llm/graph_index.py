@@ -2,7 +2,8 @@
 
 1. Equal vectors become one class with a count.  Centres are fitted on a bounded sample
    (``SAMPLE`` classes with the smallest hash), and every class goes to its ``OVERLAP`` nearest
-   cells.  A cell of more than ``SHARD`` classes is cut into chunks by hash; each pair of chunks
+   cells and to every other that a point half-way to a partner in range may have as nearest (see
+   :func:`reached`), so partners meet there.  A cell of more than ``SHARD`` classes is cut into chunks by hash; each pair of chunks
    is a shard, so no task holds a whole hot cell and no pair of a cell is lost.
 2. Each shard builds a graph: classes are inserted in doubling batches; a greedy search on the
    graph so far and the batch itself give the candidates, robust pruning keeps at most ``DEGREE`` of them, and
@@ -33,7 +34,8 @@ SAMPLE = 16_384
 CELLS = 1_024  # at most
 FILL = 1_024  # classes of a usual cell
 SHARD = 2_048
-OVERLAP = 2
+OVERLAP = 2  # at least
+SIGMAS = 2.5
 DEGREE = 24
 POOL = 64  # candidates that pruning looks at
 MATES = 16  # and those of the same batch
@@ -217,10 +219,29 @@ def _usable(name: str):
     return F.col(name).isNotNull() & finite & F.exists(name, lambda v: v != 0)
 
 
-def shards_of(classes: DataFrame) -> DataFrame:
-    """``cell, a, b, side, other, node, many, vector``: the members of each shard (cell, a, b).
+def reached(x: np.ndarray, centres: np.ndarray, limit: float) -> np.ndarray:
+    """Which cells (columns) each row of ``x`` goes to.
 
-    ``other`` is the member's other cell.  Vectors of different lengths are in different cells.
+    Two vectors with a cosine of ``limit`` share the cell c of the point half-way, which is no
+    nearer to the nearest centre of either.  So c is at most tan(half the angle) times the centres'
+    distance across the direction of the step behind the nearest; of that the step takes a share
+    that is 1 at most, and ``SIGMAS`` / sqrt(length) where it points anywhere.
+    """
+    like = x @ centres.T
+    best = like.argmax(axis=1)
+    gap = like[np.arange(len(x)), best][:, None] - like
+    apart = np.maximum(2 - 2 * (centres @ centres.T), 0)[best]
+    step = np.sqrt(max(0.0, 1 - limit) / max(1 + limit, 1e-12)) * min(1.0, SIGMAS / np.sqrt(x.shape[1]))
+    member = gap <= step * np.sqrt(np.maximum(apart - gap**2, 0)) + 1e-12
+    top = np.argsort(gap, axis=1, kind="stable")[:, :OVERLAP]
+    member[np.arange(len(x))[:, None], top] = True
+    return member
+
+
+def shards_of(classes: DataFrame, limit: float = COSINE) -> DataFrame:
+    """``cell, a, b, side, cells, node, many, vector``: the members of each shard (cell, a, b).
+
+    ``cells`` are all of the member's cells.  Vectors of different lengths are in different cells.
     """
     total = classes.count()
     count = min(CELLS, max(1, -(-total * OVERLAP // FILL)))
@@ -238,31 +259,30 @@ def shards_of(classes: DataFrame) -> DataFrame:
 
     @F.arrow_udf("array<int>")
     def cells(column: pa.Array) -> pa.Array:
-        out = np.empty((len(column), OVERLAP), np.int64)
+        out: list = [None] * len(column)
         lengths = column.value_lengths().to_numpy()
         for length in np.unique(lengths):
             at = np.flatnonzero(lengths == length)
             base, own = shared.value.get(int(length), (-1 - int(length), np.zeros((1, int(length)))))
-            like = unit(_rows(column.take(pa.array(at)))) @ own.T
-            top = np.argsort(-like, axis=1, kind="stable")[:, :OVERLAP]
-            if top.shape[1] < OVERLAP:
-                top = np.concatenate([top, np.repeat(top[:, :1], OVERLAP - top.shape[1], axis=1)], axis=1)
-            out[at] = base + top
-        return pa.array(out.tolist(), pa.list_(pa.int32()))
+            for low in range(0, len(at), 1_024):
+                cut = at[low : low + 1_024]
+                member = reached(unit(_rows(column.take(pa.array(cut)))), own, limit)
+                for i, row in zip(cut.tolist(), member, strict=True):
+                    out[i] = base + np.flatnonzero(row)
+        return pa.array(out, pa.list_(pa.int32()))
 
     placed = stage(classes.select("node", "many", "vector", cells("vector").alias("cells")), "cells")
-    member = placed.select("node", F.explode(F.array_distinct("cells")).alias("cell"))
+    member = placed.select("node", F.explode("cells").alias("cell"))
     sizes = member.groupBy("cell").count()
     parts = F.ceil(F.col("count") / SHARD).cast("int")
     sizes = sizes.select("cell", parts.alias("parts"))
-    each = placed.select("node", "many", "vector", "cells", F.explode(F.array_distinct("cells")).alias("cell"))
+    each = placed.select("node", "many", "vector", "cells", F.explode("cells").alias("cell"))
     # One row per cell: CELLS at most, and one for each length of vector that the sample missed.
     each = each.join(sizes, "cell").withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     each = each.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    other = F.when(F.col("cells")[0] == F.col("cell"), F.col("cells")[1]).otherwise(F.col("cells")[0])
     return each.select(
         "cell", F.least("side", "with").alias("a"), F.greatest("side", "with").alias("b"), "side",
-        other.alias("other"), "node", "many", "vector",
+        "cells", "node", "many", "vector",
     )
 
 
@@ -296,7 +316,7 @@ def _local(node: np.ndarray, lists: pa.ListArray) -> np.ndarray:
 def _search_shard(table: pa.Table, limit: float) -> pa.Table:
     table = table.sort_by("node")
     node, many = table["node"].to_numpy(), table["many"].to_numpy()
-    side, other = table["side"].to_numpy(), table["other"].to_numpy()
+    side = table["side"].to_numpy()
     cell, crossing = table["cell"][0].as_py(), table["a"][0] != table["b"][0]
     x = unit(_rows(table["vector"].combine_chunks()))
     adjacency = _local(node, table["near"].combine_chunks())
@@ -309,7 +329,17 @@ def _search_shard(table: pa.Table, limit: float) -> pa.Table:
     np.fill_diagonal(hit, False)
     if crossing:
         hit &= side[:, None] != side[None, :]
-    counted = hit & ~((other[:, None] == other[None, :]) & (other < cell)[:, None])
+    counted = hit.copy()
+    lists = table["cells"].combine_chunks()
+    row = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
+    before = lists.flatten().to_numpy()
+    row, before = row[before < cell], before[before < cell]
+    if len(before):  # pairs that a smaller cell has too
+        kinds, column = np.unique(before, return_inverse=True)
+        inside = np.zeros((n, len(kinds)), np.float32)
+        inside[row, column] = 1
+        for cut in range(0, n, 256):
+            counted[cut : cut + 256] &= inside[cut : cut + 256] @ inside.T < 0.5
     links = counted.astype(np.float64) @ many.astype(np.float64)
     label = np.arange(n)
     while True:
@@ -356,9 +386,9 @@ def near_duplicates(
 
 def _found(classes: DataFrame, limit: float) -> DataFrame:
     """``node, n_links, component_id`` per class."""
-    shards = stage(shards_of(classes), "shards")
+    shards = stage(shards_of(classes, limit), "shards")
     built = shards.groupBy(*PLACE).applyInArrow(_build_shard, "node long, near array<long>")
-    # As many lists per class as it has shards: OVERLAP, times the chunks of a hot cell.
+    # As many lists per class as it has shards: its cells, times the chunks of a hot cell.
     united = built.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
     united = stage(united, "graph")
 
