@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseloom.session import scratch_path, stage
 
-__all__ = ["Memo", "delete", "scratch_path", "stage", "table", "text_or_empty"]
+__all__ = ["Memo", "delete", "free_name", "scratch_path", "stage", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def free_name(taken: Iterable[str], wanted: str) -> str:
+    """``wanted``, with underscores behind it until no column of ``taken`` has that name."""
+    own = {name.lower() for name in taken}
+    while wanted.lower() in own:
+        wanted += "_"
+    return wanted
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a staged folder that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseloom.llm.common import stage, text_or_empty
 from caseloom.llm.components import connected_components
@@ -62,21 +63,26 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
     return int(np.packbits(set_bits, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``node`` (the id as long) and ``fp`` (the fingerprint as signed long) per row; a null
-    text counts as empty, whose fingerprint is zero."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None
+) -> DataFrame:
+    """``node`` (the id as long) and ``fp`` (the fingerprint as signed long) per row, and
+    ``carried``, if ``carry`` is given; a null text counts as empty, whose fingerprint is zero."""
+    rows = docs.select(
+        text_or_empty(text_col).cast("binary").alias("t"), F.col(id_col).cast("long").alias("node"),
+        *([] if carry is None else [carry.alias("carried")]),
+    )
+    kept = rows.drop("t")
+    schema = T.StructType([*kept.schema.fields, T.StructField("fp", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(t.as_buffer().to_pybytes()) for t in batch.column(1)]
+            values = [fingerprint(t.as_buffer().to_pybytes()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values, pa.int64())], names=["node", "fp"]
+                [*batch.columns[1:], pa.array(values, pa.int64())], names=[*batch.schema.names[1:], "fp"]
             )
 
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).cast("binary").alias("t")
-    )
-    return rows.mapInArrow(work, "node long, fp long")
+    return rows.mapInArrow(work, schema)
 
 
 def pivots(count: int = PIVOTS, seed: int = 20) -> np.ndarray:
@@ -214,17 +220,20 @@ def links(classes: DataFrame, limit: int = LIMIT, chunk: int = CHUNK, references
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT,
+    carry: Column | None = None,
+) -> DataFrame:
     """``id_col``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id reachable
-    by links of at most ``limit`` differing bits) per row of ``docs``.
+    by links of at most ``limit`` differing bits) per row of ``docs``; with ``carry`` also
+    ``carried``, that column of the row.
 
-    Null and empty texts have fingerprint zero and link like any other.  Equal rows are kept.
+    Null and empty texts have fingerprint zero and link like any other.  Equal rows are kept;
+    very long texts are taken whole.
     Rows with a null id have a fingerprint and take the component of their fingerprint; if
     nothing but null ids is in reach, the component is null.  No rows give no rows; other
     columns are ignored.
     """
-    marked = stage(fingerprints(docs, id_col, text_col), "fingerprints")
+    marked = stage(fingerprints(docs, id_col, text_col, carry), "fingerprints")
     classes = marked.groupBy("fp").agg(F.min("node").alias("low"))
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     parts = connected_components(links(classes.select("node", "fp"), limit))
@@ -236,4 +245,5 @@ def near_duplicates(
         F.col("node").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
+        *([] if carry is None else ["carried"]),
     )

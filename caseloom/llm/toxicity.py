@@ -207,12 +207,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **columns: s
     return Model(keep, weight * ratio, bias)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``toxicity`` (0 to 1) added; a null text counts as empty.
+def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` with ``out`` (0 to 1) added; a null text counts as empty, a very
+    long one is scored whole.
 
     A column of that name is replaced.  Repeated rows get equal scores; no rows give no rows.
     """
-    names = [c for c in docs.columns if c != "toxicity"]
+    names = [c for c in docs.columns if c != out]
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.intercept))
 
     @F.arrow_udf("double")
@@ -221,4 +222,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pa.array(scorer(batch.to_pylist()), pa.float64())
 
-    return docs.select(*names, rate(text_or_empty(text_col)).alias("toxicity"))
+    return docs.select(*names, rate(text_or_empty(text_col)).alias(out))

@@ -89,6 +89,7 @@ def test_pipeline_against_brute_force(spark):
     clean = {r.doc_id: r.text for r in kept if not any(i in b" " + b" ".join(decontaminate.split(r.text)) + b" " for i in joined)}
     library = Tokenizer.from_file(path("byte_bpe_50k.json"))
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+    # the latent search may find items in other words as well
     assert set(rows) <= set(clean) and len(rows) >= len(clean) - 2
     for doc_id, r in rows.items():
         spans, text, last = [tuple(map(int, s.split(":")[1:])) for s in plain_base(clean[doc_id])], "", 0
@@ -120,3 +121,25 @@ def test_stages_with_odd_rows(spark, tmp_path):
             docs = spark.read.parquet(f"{tmp_path}/{name}-{wanted}")
             assert name == "byte pairs" or docs.columns == columns
         assert docs.count() == wanted
+
+
+def test_stages_keep_columns_of_their_own_names(spark, tmp_path):
+    own = ["toxicity", "near_row", "place", "place_", "base", "same", "row", "spans", "component_id", "carried", "source", "lang"]
+    text = "one two three four five six seven eight nine ten"
+    rows = [(i, t, *range(len(own))) for i, t in [(3, text), (1, text), (1, text), (None, text), (None, ""), (None, None), (7, "alone here")]]
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` long" for c in own)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "nothing of this is anywhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    for name, work in corpus_pipeline.STAGES[:-1]:
+        kept = work(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns
+        got = kept.collect()
+        assert all(list(r)[2:] == list(range(len(own))) for r in got), name
+    assert len(got) == 7
+    for given in (docs, None):  # rows in memory, and rows of a file
+        if given is None:
+            docs.write.parquet(f"{tmp_path}/documents.parquet")
+            given = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        kept = corpus_pipeline.without_near_copies(spark, given, str(tmp_path)).collect()
+        assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (1, text), (7, "alone here")]
