@@ -106,4 +106,32 @@ def repeated() -> str:
     return "|".join(c + "{4}" for c in letters)
 
 
-QUERIES = {"op7_url_rules": url_rules, "op9_secrets": scanned}
+def collocations() -> str:
+    """Phrases of two and three words, counted and scored as in phrases.collocations."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {n} AS size, unnest(list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))) AS g "
+        f"FROM pieces WHERE len(ws) >= {n}"
+        for n in (1, 2, 3)
+    )
+    score = "CAST(1000000 AS HUGEINT) * f.a * f.a // (CAST(x.a AS HUGEINT) * y.a)"
+    return f"""
+WITH pieces AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM documents)),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+f AS (SELECT lang, size, g, count(*) AS a FROM ({grams}) GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT *, string_split(g, ' ') AS ws FROM f WHERE size > 1),
+cuts AS (SELECT f.lang, f.g, f.a, k, x.a AS l, y.a AS r, CAST({score} AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) f
+  JOIN f x ON x.lang = f.lang AND x.g = array_to_string(f.ws[1:k], ' ')
+  JOIN f y ON y.lang = f.lang AND y.g = array_to_string(f.ws[k + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+longer AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS g, a FROM c WHERE size = 3),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM longer o WHERE o.lang = b.lang AND o.g = b.g AND 100 * o.a >= 50 * b.a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, score FROM kept)
+JOIN total USING (lang) WHERE rank <= 2000"""
+
+
+QUERIES = {"op11_phrases": collocations, "op7_url_rules": url_rules, "op9_secrets": scanned}

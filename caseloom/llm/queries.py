@@ -11,6 +11,7 @@ from caseloom.llm import (
     decontaminate,
     extraction,
     graph_index,
+    phrases,
     secrets,
     seqfile,
     simhash,
@@ -92,10 +93,14 @@ def op10_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_sequences, op3_toxicity, op4_main_text, op5_byte_pairs, op6_token_totals,
-        op7_url_rules, op8_decontaminate, op9_secrets, op10_graph,
+        op7_url_rules, op8_decontaminate, op9_secrets, op10_graph, op11_phrases,
     )
 }
