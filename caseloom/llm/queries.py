@@ -18,6 +18,7 @@ from caseloom.llm import (
     token_counts,
     toxicity,
     urlrules,
+    whitening,
 )
 from caseloom.llm.common import scratch_path, table
 
@@ -97,10 +98,15 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_sequences, op3_toxicity, op4_main_text, op5_byte_pairs, op6_token_totals,
-        op7_url_rules, op8_decontaminate, op9_secrets, op10_graph, op11_phrases,
+        op7_url_rules, op8_decontaminate, op9_secrets, op10_graph, op11_phrases, op12_whitening,
     )
 }
