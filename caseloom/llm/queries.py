@@ -11,6 +11,7 @@ from caseloom.llm import (
     decontaminate,
     extraction,
     graph_index,
+    packing,
     phrases,
     secrets,
     seqfile,
@@ -103,10 +104,15 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors, whitening.fit(vectors))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_sequences, op3_toxicity, op4_main_text, op5_byte_pairs, op6_token_totals,
         op7_url_rules, op8_decontaminate, op9_secrets, op10_graph, op11_phrases, op12_whitening,
+        op13_packing,
     )
 }

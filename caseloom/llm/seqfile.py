@@ -16,6 +16,7 @@ file or none.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -27,22 +28,67 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseloom.llm import rolling
 from caseloom.llm.common import Memo, stage, text_or_empty
 
 LENGTH = 2048
 BATCH = 64  # sequences in a record batch
 PART_BYTES = 8 << 20  # text bytes of a part, about
 REMEMBERED = 300_000
-_STOPS = b".,;:!?"
+STEP_BYTES = 4 << 20  # text bytes that are coded together
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_SIGNS = np.zeros(256, bool)  # ASCII that is neither letter, digit, blank nor control
+_SIGNS[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _runs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs between blanks and line ends.  Signs at the end of a run whose last
+    other letter is one of a-z or of Latin-1 are a run of their own."""
+    held = np.frombuffer(data, np.uint8)
+    gap = np.ones(len(held) + 2, bool)
+    np.logical_or(held == 32, held == 10, out=gap[1:-1])
+    start, end = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    if not len(start):
+        return start, end
+    last = np.maximum.accumulate(np.where(_SIGNS[held], -1, np.arange(len(held))))[end - 1]
+    tail = (last >= start) & (last < end - 1)
+    at = last[tail]
+    letter, before = held[at], held[np.maximum(at - 1, 0)]
+    plain = (letter >= 97) & (letter <= 122)
+    latin = (before == 0xC3) & (letter >= 0x80) & (letter <= 0xBF) & (letter != 0x97) & (letter != 0xB7)
+    cuts = at[plain | latin] + 1
+    return np.sort(np.r_[start, cuts]), np.sort(np.r_[end, cuts])
+
+
+def _stretches(values: np.ndarray, offset: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` one after the other."""
+    begin = np.cumsum(length) - length
+    return values[np.repeat(offset - begin, length) + np.arange(length.sum())]
+
+
+def _different(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the different runs, and for each run its place among them."""
+    held, length = np.frombuffer(data, np.uint8), end - start
+    key = rolling.mix(rolling.cut(rolling.prefix(held.astype(np.uint64) + np.uint64(1), _BASE), start, end, _BASE))
+    first, same = np.unique(key, return_index=True, return_inverse=True)[1:]
+    one = first[same]
+    if (length[one] == length).all() and np.array_equal(_stretches(held, start[one], length), _stretches(held, start, length)):
+        return first, same
+    place: dict[bytes, int] = {}  # two runs with one hash
+    runs = [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    same = np.array([place.setdefault(run, len(place)) for run in runs], np.int64)
+    return np.unique(same, return_index=True)[1], same
 
 
 class WordCoder:
     """The tokenizers library, asked once per remembered run of non-blank characters.
 
-    Only for vocabularies whose pre-tokenizer drops white space and never looks across it:
-    then the ids of a text are those of its runs one after the other.  A run of ASCII that
-    ends in a letter and one stop is that of the letter part and the stop; ASCII runs are
-    asked for in lower case, as the vocabulary has no upper case.
+    Only for vocabularies whose pre-tokenizer drops white space and never looks across it, and
+    whose normalizer lower-cases: then the ids of a text are those of its runs one after the
+    other.  Others are refused.  ASCII signs behind a letter are a run of their own, and A-Z are
+    asked for as a-z.  Unknown runs of many texts go to the library together, with an added token
+    between them.
     """
 
     def __init__(self, path: str):
@@ -50,39 +96,77 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self._check(json.loads(self.library.to_str()))
         self.library.no_padding()
         self.library.no_truncation()
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.cores = Memo(self._ask, REMEMBERED)
-        self.runs = Memo(self._split, REMEMBERED)
-        self.stops = dict(zip(_STOPS, self._ask([bytes([c]) for c in _STOPS]), strict=True))
+
+    def _check(self, about: dict) -> None:
+        steps = [step["type"] for step in (about["normalizer"] or {}).get("normalizers", [])]
+        splits = (about["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        marks = [t for t in about["added_tokens"] if not t["lstrip"] and not t["rstrip"] and not t["single_word"]]
+        dropped = splits[0].get("behavior") == "Removed" and splits[0].get("invert")
+        if steps != ["NFC", "Replace", "Lowercase"] or not dropped or not marks or len(marks) < len(about["added_tokens"]):
+            raise ValueError("the vocabulary does not code runs of non-blank characters one by one")
+        if not all("<|" in t["content"] for t in marks):
+            raise ValueError("added tokens without <| would be missed")
+        self.between, self.mark = marks[0]["content"], marks[0]["id"]
 
     def _ask(self, runs: list[bytes]) -> list[bytes]:
-        coded = self.library.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)
-        return [np.array(c.ids, self.kind).tobytes() for c in coded]
-
-    def _split(self, runs: list[bytes]) -> list[bytes]:
-        cores, tails = [], []
-        for run in runs:
-            tail = b""
-            if run.isascii() and b"<|" not in run:
-                run = run.lower()
-                if len(run) > 1 and run[-1] in self.stops and run[-2:-1].isalpha():
-                    run, tail = run[:-1], self.stops[run[-1]]
-            cores.append(run)
-            tails.append(tail)
-        self.cores.learn(cores)
-        return [self.cores[c] + t for c, t in zip(cores, tails, strict=True)]
+        """Ids of each run; those with the beginning of an added token are asked for alone."""
+        texts = [r.decode() for r in runs]
+        plain = [t for t in texts if "<|" not in t]
+        alone = [t for t in texts if "<|" in t]
+        joined = self.library.encode_batch_fast([self.between.join(plain), *alone], add_special_tokens=False)
+        ids = np.array(joined[0].ids, np.uint32)
+        ends = np.r_[np.flatnonzero(ids == self.mark), len(ids)].tolist()
+        held, width = ids.astype(self.kind).tobytes(), self.kind.itemsize
+        starts = [0, *(e + 1 for e in ends[:-1])]
+        cut = iter([held[a * width : b * width] for a, b in zip(starts, ends, strict=True)])
+        others = iter(joined[1:])
+        return [next(cut) if "<|" not in t else np.array(next(others).ids, self.kind).tobytes() for t in texts]
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a text as little-endian numbers of ``kind``."""
+        return self.encode_all([text])[0]
+
+    def _alone(self, text: bytes) -> bytes:
+        """Ids of a text that may hold an added token, run by run and in its own letters."""
         runs = text.replace(b"\n", b" ").split(b" ")
-        try:
-            return b"".join(map(self.runs.__getitem__, runs))
-        except KeyError:
-            self.runs.learn(runs)
-            return b"".join(map(self.runs.__getitem__, runs))
+        return b"".join(self._ask(runs))
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text.  Different runs are looked up once for all texts, and what is not known
+        of them is asked for at once."""
+        special = {k: self._alone(t) for k, t in enumerate(texts) if b"<|" in t}
+        data = b"\n".join(b"" if k in special else t for k, t in enumerate(texts)).translate(_LOWER)
+        start, end = _runs(data)
+        size = np.fromiter((0 if k in special else len(t) for k, t in enumerate(texts)), np.int64, len(texts))
+        begin = np.cumsum(size + 1) - size - 1
+        first, same = _different(data, start, end)
+        known = [data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        self.cores.learn(known)
+        coded = list(map(self.cores.__getitem__, known))
+        width = self.kind.itemsize
+        length = np.fromiter(map(len, coded), np.int64, len(coded)) // width
+        offset = np.cumsum(length) - length
+        ids = _stretches(np.frombuffer(b"".join(coded), self.kind), offset[same], length[same]).tobytes()
+        ends = np.r_[0, np.cumsum(length[same])][np.searchsorted(start, np.r_[begin, len(data) + 1])] * width
+        cuts = zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+        return [special[k] if k in special else ids[a:b] for k, (a, b) in enumerate(cuts)]
+
+    def encode_steps(self, texts: pa.Array, step: int = STEP_BYTES) -> Iterator[bytes]:
+        """Ids of a column of binary texts, coded in steps of about ``step`` bytes."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text.as_buffer().to_pybytes())
+            size += len(held[-1])
+            if size > step:
+                yield from self.encode_all(held)
+                held, size = [], 0
+        yield from self.encode_all(held)
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -233,7 +317,7 @@ def write(
         own = coder(vocabulary)
         end = np.array([end_id], own.kind).tobytes()
         for batch in batches:
-            coded = [own.encode(t.as_py()) + end for t in batch.column("text")]
+            coded = [ids + end for ids in own.encode_steps(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("part"), batch.column("doc_id"), pa.array(coded, pa.binary())],
                 names=["part", "doc_id", "ids"],
