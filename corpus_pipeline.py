@@ -43,7 +43,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     numbered = placed.withColumn(row, F.monotonically_increasing_id())
     known = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(place).alias("place"))
     marked = stage(simhash.near_duplicates(numbered, row, carry=known), "near-rows")
-    first = marked.groupBy("component_id").agg(F.min("carried").alias("first"))
+    # Written, so that the join has an exchange on both sides and a large group is split in it.
+    first = stage(marked.groupBy("component_id").agg(F.min("carried").alias("first")), "near-first")
     rest = marked.join(first, "component_id").where(F.col("carried") != F.col("first"))
     return placed.join(rest.select(F.col("carried.place").alias(place)), place, "left_anti").select(*docs.columns)
 
