@@ -52,17 +52,15 @@ def _largest_first(id_column: str) -> list[Column]:
 
 
 def top_counterparties(
-    tx_case: DataFrame, counterparties: DataFrame, n: int = TOP_COUNTERPARTIES
+    totals: DataFrame, counterparties: DataFrame, n: int = TOP_COUNTERPARTIES
 ) -> DataFrame:
-    """Largest counterparties of each case, ranked before the profile is joined."""
-    totals = C.counterparty_totals(tx_case)
+    """Largest counterparties of each case by their totals, ranked before the profile is joined."""
     ranked = top_n(totals, CASE_KEY, _largest_first("counterparty_id"), n)
     profile = counterparties.select("counterparty_id", "counterparty_type", "country")
     return ranked.join(profile, "counterparty_id", "left")
 
 
-def top_merchants(tx_case: DataFrame, merchants: DataFrame, n: int = TOP_MERCHANTS) -> DataFrame:
-    totals = C.merchant_totals(tx_case)
+def top_merchants(totals: DataFrame, merchants: DataFrame, n: int = TOP_MERCHANTS) -> DataFrame:
     ranked = top_n(totals, CASE_KEY, _largest_first("merchant_id"), n)
     profile = merchants.select(
         "merchant_id", "merchant_name", "merchant_category", "country", "state"

@@ -13,6 +13,7 @@ from caseloom import schemas
 from caseloom.functions.cases import CASE_KEY, case_id
 from caseloom.operators import cases as C
 from caseloom.operators import evidence as E
+from caseloom.operators.partials import DayPartials
 from caseloom.session import stage
 
 
@@ -64,14 +65,23 @@ class CaseFrames:
     Five of them read the case transactions.  With ``staged`` the window join is
     written once and each reads just its columns; without it each repeats the
     join, which only makes sense where a single frame is wanted.
+
+    With ``by_day`` the figures come from daily partials instead of the join, and the join is
+    asked for listed transactions only: for windows that overlap, or parties with many
+    transactions a day.  The frames are the same.
     """
 
     def __init__(
-        self, inputs: Mapping[str, DataFrame], limits: Limits = Limits(), staged: bool = True
+        self,
+        inputs: Mapping[str, DataFrame],
+        limits: Limits = Limits(),
+        staged: bool = True,
+        by_day: bool = False,
     ) -> None:
         self._inputs = inputs
         self._limits = limits
         self._staged = staged
+        self._by_day = by_day
 
     @cached_property
     def cases(self) -> DataFrame:
@@ -98,23 +108,52 @@ class CaseFrames:
         joined = C.with_usd(C.transactions_in_cases(self._inputs["transactions"], self.cases))
         return stage(joined, "tx-case") if self._staged else joined
 
+    @cached_property
+    def partials(self) -> DayPartials:
+        return DayPartials(C.with_usd(self._inputs["transactions"]), self.cases)
+
+    @cached_property
+    def listed_tx_case(self) -> DataFrame:
+        """Case transactions that alerts of their party list; only these are joined to windows."""
+        ids = self.supporting_ids.select("party_id", "txn_id").distinct()
+        listed = self._inputs["transactions"].join(ids, ["party_id", "txn_id"], "left_semi")
+        return C.transactions_in_cases(listed.select(*self._inputs["transactions"].columns), self.cases)
+
     @cached_property
     def tx_summary(self) -> DataFrame:
+        if self._by_day:
+            return self.partials.tx_summary()
         return C.tx_summary(self.tx_case, self._staged)
 
     @cached_property
     def instrument_breakdown(self) -> DataFrame:
+        if self._by_day:
+            return self.partials.instrument_breakdown()
         return C.instrument_breakdown(self.tx_case)
 
+    @cached_property
+    def counterparty_totals(self) -> DataFrame:
+        if self._by_day:
+            return self.partials.counterparty_totals()
+        return C.counterparty_totals(self.tx_case)
+
+    @cached_property
+    def merchant_totals(self) -> DataFrame:
+        if self._by_day:
+            return self.partials.merchant_totals()
+        return C.merchant_totals(self.tx_case)
+
     @cached_property
     def top_counterparties(self) -> DataFrame:
         return E.top_counterparties(
-            self.tx_case, self._inputs["counterparties"], self._limits.top_counterparties
+            self.counterparty_totals, self._inputs["counterparties"], self._limits.top_counterparties
         )
 
     @cached_property
     def top_merchants(self) -> DataFrame:
-        return E.top_merchants(self.tx_case, self._inputs["merchants"], self._limits.top_merchants)
+        return E.top_merchants(
+            self.merchant_totals, self._inputs["merchants"], self._limits.top_merchants
+        )
 
     @cached_property
     def supporting_ids(self) -> DataFrame:
@@ -122,12 +161,15 @@ class CaseFrames:
 
     @cached_property
     def supporting_transactions(self) -> DataFrame:
+        found = self.listed_tx_case if self._by_day else self.tx_case
         return E.supporting_transactions(
-            self.alerts_case, self.tx_case, self._limits.supporting_transactions
+            self.alerts_case, found, self._limits.supporting_transactions
         )
 
     @cached_property
     def timeline(self) -> DataFrame:
+        if self._by_day:
+            return self.partials.timeline_daily()
         return C.timeline_daily(self.tx_case)
 
     @cached_property

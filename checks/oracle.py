@@ -97,6 +97,13 @@ SELECT case_id, party_id, window_start_ms_utc AS case_window_start_ms_utc, windo
   quantile_disc(risk_score,0.5) AS median_risk_score, {_set("model_type")} AS model_types,
   {_set("scenario_code")} AS scenario_codes, {_set("severity")} AS severities
 FROM cased_alerts GROUP BY ALL""",
+    "rolling_tx": """
+SELECT sha256(concat_ws('||',c.party_id,CAST(s AS VARCHAR),CAST(e AS VARCHAR))) AS case_id,
+  c.party_id, s AS case_window_start_ms_utc, e AS case_window_end_ms_utc, t.* EXCLUDE (party_id),
+  amount * CASE currency WHEN 'EUR' THEN CAST(1.10 AS DOUBLE) WHEN 'GBP' THEN CAST(1.28 AS DOUBLE)
+    WHEN 'CAD' THEN CAST(0.75 AS DOUBLE) WHEN 'MXN' THEN CAST(0.058 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS amount_usd
+FROM (SELECT DISTINCT party_id, alert_timestamp_ms_utc-34560000000 AS s, alert_timestamp_ms_utc AS e FROM fx_alerts) c
+JOIN fx_transactions t ON t.party_id=c.party_id AND t.txn_timestamp_ms_utc BETWEEN s AND e""",
     "tx_figures": f"""
 SELECT case_id, party_id, case_window_start_ms_utc, case_window_end_ms_utc,
   count(*) AS txn_count_case, round(fsum(amount_usd),6) AS amount_total_usd_case,
@@ -326,6 +333,13 @@ FROM (SELECT *, regexp_extract(path,'([^/]*)\\.[^./]*$',1) AS title FROM fx_file
   alert_timestamp_ms_utc AS ts, alert_id, model_type, scenario_code, risk_score, severity, trigger_summary,
   supporting_txn_ids, amount_total_usd, txn_count, features_json, data_quality_flags FROM cased_alerts""",
     "tx_summary": "SELECT * FROM tx_figures",
+    "rolling_tx_summary": PARTS["tx_figures"].replace("cased_tx", "rolling_tx"),
+    "tx_summary_by_day": "SELECT * FROM tx_figures",
+    "instrument_breakdown_by_day": f"SELECT {_TOTAL} FROM by_instrument",
+    "counterparty_totals_by_day": f"SELECT {_TOTAL} FROM by_counterparty",
+    "merchant_totals_by_day": f"SELECT {_TOTAL} FROM by_merchant",
+    "tx_timeline_by_day": "SELECT * FROM by_day",
+    "case_packet_by_day": "SELECT * FROM packet_full",
     "instrument_breakdown": f"SELECT {_TOTAL} FROM by_instrument",
     "counterparty_totals": f"SELECT {_TOTAL} FROM by_counterparty",
     "merchant_totals": f"SELECT {_TOTAL} FROM by_merchant",

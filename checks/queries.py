@@ -16,6 +16,7 @@ from caseloom.operators import evidence as E
 from caseloom.operators import policy, review, triage
 from caseloom.operators.nearest import nearest
 from caseloom.operators.packet import CaseFrames, Limits, packet_json, with_case_id
+from caseloom.operators.partials import DayPartials
 from caseloom.plans import daily, policy_index
 from caseloom.plans.views import register_views
 from caseloom.session import scratch_path, stage
@@ -243,6 +244,60 @@ def alerts_by_model(spark: SparkSession, sf: str) -> DataFrame:
     return C.alerts_by_model(inputs(spark, sf)["alerts"])
 
 
+# --- the same figures from daily partials -------------------------------------------
+
+
+def _by_day(spark: SparkSession, sf: str, limits: Limits = SHORT) -> CaseFrames:
+    return CaseFrames(inputs(spark, sf), limits, staged=True, by_day=True)
+
+
+def _summary(df: DataFrame) -> DataFrame:
+    money = ("amount_total_usd_case", "median_amount_usd_case", "max_amount_usd_case")
+    columns = {"instrument_types_case": joined("instrument_types_case"), **{c: usd6(c) for c in money}}
+    return with_case_id(df).withColumns(columns)
+
+
+@register
+def tx_summary_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    return _summary(_by_day(spark, sf).tx_summary)
+
+
+@register
+def instrument_breakdown_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    return _totals(_by_day(spark, sf).instrument_breakdown)
+
+
+@register
+def counterparty_totals_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    return _totals(_by_day(spark, sf).counterparty_totals)
+
+
+@register
+def merchant_totals_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    return _totals(_by_day(spark, sf).merchant_totals)
+
+
+@register
+def tx_timeline_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    return _by_day(spark, sf).timeline_daily.withColumn("amount_total_usd", usd6("amount_total_usd"))
+
+
+@register
+def case_packet_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    return flat_packet(_by_day(spark, sf, Limits()).packet)
+
+
+@register
+def rolling_tx_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Figures of the 400 days before each alert: windows that overlap and cut days at both ends."""
+    tables = inputs(spark, sf)
+    end = F.col("alert_timestamp_ms_utc")
+    windows = tables["alerts"].select(
+        "party_id", (end - 400 * 86_400_000).alias("case_window_start_ms_utc"), end.alias("case_window_end_ms_utc")
+    ).distinct()
+    return _summary(DayPartials(C.with_usd(tables["transactions"]), windows).tx_summary())
+
+
 # --- ranked lists -------------------------------------------------------------------
 
 
