@@ -39,10 +39,10 @@ COVERED = 50  # per cent of a phrase's occurrences that lie in one longer phrase
 TOP = 2000  # phrases of a language
 SCALE = 1_000_000
 NO_LANGUAGE = "und"
-WINDOW = 1 << 21  # bytes that one numpy step takes
-COMPACT = 3 << 20  # fingerprints that a task holds before it adds them up
-SEND = 2 << 20  # and those that it sends then
-BLOCK_BYTES = 8 << 20  # text bytes for each block of fingerprints
+WINDOW = 1 << 19  # bytes that one numpy step takes
+COMPACT = 1 << 20  # fingerprints that a task holds before it adds them up
+SEND = 3 << 18  # and those that it sends then
+BLOCK_BYTES = 4 << 20  # text bytes for each block of fingerprints
 MAP_BITS = 28  # a bitmap has 2^28 bits (32 MB) at most
 MAP_ROW = 16  # and is put together from rows of 2^16 bits
 
