@@ -86,8 +86,13 @@ def staging(spark: SparkSession) -> Iterator[Callable[[], list[str]]]:
         own = _STAGED[start:]
         del _STAGED[start:]
         for path in own:
-            folder, system = _folder(spark, path)
-            system.delete(folder, True)
+            delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder; false if it was not there."""
+    folder, system = _folder(spark, path)
+    return system.delete(folder, True)
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int:

@@ -339,6 +339,8 @@ FROM (SELECT *, regexp_extract(path,'([^/]*)\\.[^./]*$',1) AS title FROM fx_file
     "counterparty_totals_by_day": f"SELECT {_TOTAL} FROM by_counterparty",
     "merchant_totals_by_day": f"SELECT {_TOTAL} FROM by_merchant",
     "tx_timeline_by_day": "SELECT * FROM by_day",
+    "case_packet_kept_up": "SELECT * FROM packet_full",
+    "tx_timeline_kept_up": "SELECT * FROM by_day",
     "case_packet_by_day": "SELECT * FROM packet_full",
     "instrument_breakdown": f"SELECT {_TOTAL} FROM by_instrument",
     "counterparty_totals": f"SELECT {_TOTAL} FROM by_counterparty",

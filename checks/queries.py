@@ -17,7 +17,7 @@ from caseloom.operators import policy, review, triage
 from caseloom.operators.nearest import nearest
 from caseloom.operators.packet import CaseFrames, Limits, packet_json, with_case_id
 from caseloom.operators.partials import DayPartials
-from caseloom.plans import daily, policy_index
+from caseloom.plans import daily, incremental, policy_index
 from caseloom.plans.views import register_views
 from caseloom.session import scratch_path, stage
 from caseloom.sources import contract, corpus, datasets
@@ -298,6 +298,40 @@ def rolling_tx_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _summary(DayPartials(C.with_usd(tables["transactions"]), windows).tx_summary())
 
 
+# --- datasets kept up to date -------------------------------------------------------
+
+# 1 June 1998: what is later comes with the second run.
+SECOND_RUN_MS = 896_659_200_000
+
+
+def _kept_up(spark: SparkSession, sf: str) -> str:
+    """Datasets of two runs: everything but the last months, then these and the merchants of a brand."""
+    tables = inputs(spark, sf)
+    late = {
+        "transactions": F.col("txn_timestamp_ms_utc") >= SECOND_RUN_MS,
+        "alerts": F.col("alert_timestamp_ms_utc") >= SECOND_RUN_MS,
+        "merchants": F.col("country") == "Brand#13",
+    }
+    root = scratch_path(spark, "kept-up")
+    before = {name: df.where(~late[name]) if name in late else df for name, df in tables.items()}
+    renamed = F.when(late["merchants"], F.lit("?")).otherwise(F.col("merchant_name"))
+    before["merchants"] = tables["merchants"].withColumn("merchant_name", renamed)
+    incremental.first_run(spark, before, root, "1", slices=16)
+    incremental.apply(spark, tables, {name: tables[name].where(late[name]) for name in late}, root, "2")
+    return root
+
+
+@register
+def case_packet_kept_up(spark: SparkSession, sf: str) -> DataFrame:
+    return flat_packet(incremental.read(spark, _kept_up(spark, sf), "case_packet"))
+
+
+@register
+def tx_timeline_kept_up(spark: SparkSession, sf: str) -> DataFrame:
+    rows = incremental.read(spark, _kept_up(spark, sf), "tx_timeline_daily")
+    return rows.withColumn("amount_total_usd", usd6("amount_total_usd"))
+
+
 # --- ranked lists -------------------------------------------------------------------
 
 
