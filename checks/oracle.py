@@ -409,6 +409,10 @@ FROM all_hits JOIN unique_chunks USING (chunk_id)""",
 FROM fx_policy_docs o LEFT JOIN fx_amended_docs n ON o.doc_id=n.doc_id AND o.version=n.version
 WHERE EXISTS (SELECT 1 FROM chunks c WHERE c.doc_id=o.doc_id AND c.version=o.version) OR n.doc_id IS NOT NULL
 UNION ALL SELECT 'chunk', doc_id, chunk_id, sha256(text)
+FROM (SELECT * FROM chunks UNION SELECT * FROM amended_chunks)""",
+    "policy_index_generations": """SELECT 'document' AS kind, o.doc_id, '/3/'||o.doc_id AS entry, sha256(o.text) AS content_hash, '3' AS born
+FROM fx_policy_docs o WHERE EXISTS (SELECT 1 FROM chunks c WHERE c.doc_id=o.doc_id AND c.version=o.version)
+UNION ALL SELECT 'chunk', doc_id, chunk_id, sha256(text), CASE WHEN chunk_id IN (SELECT chunk_id FROM chunks) THEN '1' ELSE '2' END
 FROM (SELECT * FROM chunks UNION SELECT * FROM amended_chunks)""",
     "policy_upsert": """SELECT 'document' AS kind, o.doc_id,
   CASE WHEN n.doc_id IS NULL THEN '/old/'||o.doc_id ELSE '/new/'||o.doc_id END AS entry,

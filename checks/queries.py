@@ -620,6 +620,30 @@ def policy_index_run(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register
+def policy_index_generations(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored index after three generations: all documents, the amended English ones, and all again
+    in their first wording.  Chunks are listed with the generation that they were embedded in."""
+    root = scratch_path(spark, "policy")
+    for generation, name in (("1", "fx_policy_docs"), ("2", "fx_amended_docs"), ("3", "fx_policy_docs")):
+        docs = fixture(spark, sf, name).withColumns(
+            {"title": F.col("doc_id"), "source_path": F.concat(F.lit(f"/{generation}/"), F.col("doc_id"))}
+        )
+        policy_index.update(spark, docs, root, generation)
+    born = F.regexp_extract(F.col("_metadata.file_path"), "/([^/]*)/chunks/", 1)
+    stored = [spark.read.parquet(f"{root}/{g}/chunks").select("chunk_id", born.alias("born")) for g in ("1", "2")]
+    chunks = policy_index.read_index(spark, root).join(stored[0].unionByName(stored[1]), "chunk_id")
+    return policy_index.read_documents(spark, root).select(
+        F.lit("document").alias("kind"), "doc_id", F.col("source_path").alias("entry"), "content_hash",
+        F.lit("3").alias("born"),
+    ).unionByName(
+        chunks.select(
+            F.lit("chunk").alias("kind"), "doc_id", F.col("chunk_id").alias("entry"),
+            F.sha2("text", 256).alias("content_hash"), "born",
+        )
+    )
+
+
 # --- drafted summaries --------------------------------------------------------------
 
 

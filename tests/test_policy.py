@@ -225,6 +225,46 @@ def test_index_and_retrieval(spark, tmp_path):
     assert hashes["card_limits"] == hashlib.sha256(b"# Card limits\nNew text.\n").hexdigest()
 
 
+def texts(spark, **named):
+    rows = [(d, "v1", d, f"# {d}\n{t}", f"/{d}") for d, t in named.items()]
+    return spark.createDataFrame(rows, "doc_id string, version string, title string, text string, source_path string")
+
+
+def test_unchanged_documents_are_not_embedded_again(spark, tmp_path, monkeypatch):
+    root, embedded = str(tmp_path / "index"), []
+    real = policy.embed
+    monkeypatch.setattr(policy, "embed", lambda df: embedded.append(sorted(r.doc_id for r in df.collect())) or real(df))
+    given = [{"a": "one", "b": "two", "c": "three"}, {"a": "one", "b": "changed", "d": "four"}, {"b": "two", "c": "three"}, {"a": "one"}]
+    seen: dict[str, set] = {}
+    for k, now in enumerate(given):
+        policy_index.update(spark, texts(spark, **now), root, f"g{k}")
+        for d, t in now.items():
+            seen.setdefault(d, set()).add(f"{t}")
+        index = policy_index.read_index(spark, root).collect()
+        assert sorted((r.doc_id, r.text) for r in index) == sorted((d, t) for d, ts in seen.items() for t in ts)
+        fresh = policy.embed(policy.chunks(texts(spark, **{r.doc_id: r.text for r in index}))).collect()
+        vectors = {r.chunk_id: (r.weights, r.embedding) for r in fresh}
+        assert all(vectors.get(r.chunk_id, (r.weights, r.embedding)) == (r.weights, r.embedding) for r in index)
+        embedded.pop()
+    # b goes back to its first text, whose chunk is there: nothing is left to embed.
+    assert embedded == [["a", "b", "c"], ["b", "d"], [], []]
+    entries = {r.doc_id: r.content_hash for r in policy_index.read_documents(spark, root).collect()}
+    assert entries == {d: hashlib.sha256(f"# {d}\n{t}".encode()).hexdigest() for d, t in {"a": "one", "b": "two", "c": "three", "d": "four"}.items()}
+    assert policy_index._parts(spark, root, "g3") == ["g0", "g1"]
+
+
+def test_many_generations_are_put_together(spark, tmp_path):
+    root = str(tmp_path / "index")
+    for k in range(5):
+        policy_index.update(spark, texts(spark, **{f"d{k}": "x"}), root, f"g{k}", parts=2)
+        assert policy_index.read_index(spark, root).count() == k + 1
+        assert len(policy_index._parts(spark, root, f"g{k}")) <= 2
+    gone = policy_index.vacuum(spark, root, [f"g{k}" for k in range(5)])
+    assert gone and policy_index.read_index(spark, root).count() == 5 == policy_index.read_documents(spark, root).count()
+    with pytest.raises(ValueError):
+        policy_index.update(spark, texts(spark, z="x"), root, "g4")
+
+
 def test_upsert_keeps_the_last_of_repeats(spark):
     old = spark.createDataFrame([("a", 1, "old"), ("b", 1, "old")], "k string, n int, v string")
     new = spark.createDataFrame(
