@@ -39,10 +39,11 @@ COVERED = 50  # per cent of a phrase's occurrences that lie in one longer phrase
 TOP = 2000  # phrases of a language
 SCALE = 1_000_000
 NO_LANGUAGE = "und"
-WINDOW = 1 << 19  # bytes that one numpy step takes
-COMPACT = 1 << 20  # fingerprints that a task holds before it adds them up
-SEND = 3 << 18  # and those that it sends then
-BLOCK_BYTES = 4 << 20  # text bytes for each block of fingerprints
+WINDOW = 1 << 18  # bytes that one numpy step takes
+COMPACT = 1 << 19  # fingerprints that a task holds before it adds them up
+SEND = 3 << 17  # and those that it sends then
+PIECE = 1 << 16  # of which so many travel together
+BLOCK_BYTES = 2 << 20  # text bytes for each block of fingerprints
 MAP_BITS = 28  # a bitmap has 2^28 bits (32 MB) at most
 MAP_ROW = 16  # and is put together from rows of 2^16 bits
 
@@ -163,17 +164,18 @@ def _counted(chunk: Chunk, n: int, seeds: np.ndarray, docs: np.ndarray, bitmap:
     return added(*out)
 
 
-def _sent(held: tuple, n: int, blocks: int) -> Iterator[pa.RecordBatch]:
-    """One row of arrays per block of fingerprints."""
-    fp, mark, count, doc, at = held
-    block = ((fp >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-    start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
-    offsets = pa.array(np.r_[start, len(block)].astype(np.int32))
-    columns = (fp.view(np.int64), mark, count, doc, at.astype(np.int32))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(block[start]), *(pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns)],
-        names=["block", "fp", "mark", "a", "doc", "at"],
-    )
+def _sent(held: tuple, blocks: int) -> Iterator[pa.RecordBatch]:
+    """One row of arrays per block of fingerprints, or several where a block has very many."""
+    for low in range(0, len(held[0]), PIECE):
+        fp, mark, count, doc, at = (x[low : low + PIECE] for x in held)
+        block = ((fp >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+        start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        offsets = pa.array(np.r_[start, len(block)].astype(np.int32))
+        columns = (fp.view(np.int64), mark, count, doc, at.astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(block[start]), *(pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns)],
+            names=["block", "fp", "mark", "a", "doc", "at"],
+        )
 
 
 def _level(texts: DataFrame, n: int, longest: int, least: int, blocks: int, bitmap: Broadcast | None) -> DataFrame:
@@ -198,10 +200,10 @@ def _level(texts: DataFrame, n: int, longest: int, least: int, blocks: int, bitm
                     held = [together()]
                     size = len(held[0][0])
                     if size > SEND:
-                        yield from _sent(held[0], n, blocks)
+                        yield from _sent(held[0], blocks)
                         held, size = [], 0
         if held:
-            yield from _sent(together(), n, blocks)
+            yield from _sent(together(), blocks)
 
     def add(group: pa.Table) -> pa.Table:
         flat = [group[c].combine_chunks().flatten().to_numpy() for c in ("fp", "mark", "a", "doc", "at")]
