@@ -120,10 +120,11 @@ def plain_nearest(queries, items, k):
     return out
 
 
-@pytest.mark.parametrize("blocks", [(32_768, 8_192, 256), (7, 5, 3)])
+@pytest.mark.parametrize("blocks", [(32_768, 8_192, 256), (7, 5, 3), (7, 9, 3)])
 def test_nearest_equals_brute_force(spark, monkeypatch, blocks):
-    for name, value in zip(("QUERY_BLOCK", "ITEM_BLOCK", "TILE"), blocks):
+    for name, value in zip(("QUERY_BLOCK", "TILE"), blocks[::2]):
         monkeypatch.setattr(N, name, value)
+    block_bytes, pays = blocks[1] * 8 * 4, 1.0 if blocks[1] == 5 else N.PAYS
     rng = random.Random(5)
 
     def vectors(n, prefix):
@@ -136,7 +137,7 @@ def test_nearest_equals_brute_force(spark, monkeypatch, blocks):
     q = spark.createDataFrame(list(queries.items()), "query_id string, vector array<double>")
     i = spark.createDataFrame(list(items.items()), "item_id string, vector array<double>")
     got = {}
-    for r in nearest(q, i, 4, decimals=12).orderBy("query_id", "rank").collect():
+    for r in nearest(q, i, 4, decimals=12, block_bytes=block_bytes, pays=pays).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.item_id, round(r.score, 12)))
     wanted = plain_nearest(queries, items, 4)
     assert {k: [i for i, _ in v] for k, v in got.items()} == {
@@ -144,6 +145,68 @@ def test_nearest_equals_brute_force(spark, monkeypatch, blocks):
     }
 
 
+def test_blocks_that_cannot_hold_a_best_item_are_skipped(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    heads = rng.standard_normal((12, 16))
+
+    def rows(n, prefix, seed):
+        own = np.random.default_rng(seed)
+        vectors = heads[own.integers(0, 12, n)] + 0.15 * own.standard_normal((n, 16))
+        return {f"{prefix}{k:04d}": [float(x) for x in v] for k, v in enumerate(vectors)}
+
+    queries, items = rows(60, "q", 3), rows(600, "i", 4)
+    items |= {f"j{k:04d}": items["i0007"] for k in range(80)}  # copies fill blocks of their own
+    items |= {"odd": [1.0, 2.0], "zero": [0.0] * 16}
+    queries |= {"odd": [3.0], "zero": [0.0] * 16}
+    q = spark.createDataFrame(list(queries.items()), "query_id string, vector array<double>")
+    i = spark.createDataFrame(list(items.items()), "item_id string, vector array<double>")
+    asked, real = [], N._asked
+
+    def counting(*args):
+        out = real(*args)
+        asked.append(out.groupBy("query_id").count().collect())
+        return out
+
+    monkeypatch.setattr(N, "_asked", counting)
+    got = {}
+    for r in nearest(q, i, 5, decimals=12, block_bytes=40 * 8 * 16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.item_id)
+    assert got == {k: [i for i, _ in v] for k, v in plain_nearest(queries, items, 5).items()}
+    first, rest = ({r.query_id: r["count"] for r in some} for some in asked)
+    assert set(first.values()) == {2}  # the best centre and the odd vectors
+    centres = math.ceil(len(items) / 40)
+    looked_at = sum(first[k] + rest.get(k, 0) for k in queries if k[1:].isdigit())
+    assert looked_at < 60 * centres / 3  # of all pairs of a query and a centre
+
+
+def test_bounds_hold(spark):
+    rng = np.random.default_rng(6)
+    for d in (1, 2, 3, 40):
+        centres = rng.standard_normal((5, d))
+        centres /= np.sqrt((centres**2).sum(1, keepdims=True))
+        items, queries = rng.standard_normal((2, 200, d))
+        units = [x / np.sqrt((x * x).sum(1, keepdims=True)) for x in (items, queries)]
+        own = N._angles(units[0], centres)
+        radius = np.full(5, -1.0)
+        np.maximum.at(radius, own.argmin(1), own.min(1))
+        bound = N.bounds(units[1], np.ones(200, bool), centres, radius)
+        assert (units[1] @ units[0].T <= bound[:, own.argmin(1)] + N.SLACK).all()
+
+
+def test_pilots_tell_whether_bounds_skip_much():
+    rng = np.random.default_rng(1)
+
+    def unit(x):
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+    heads = unit(rng.standard_normal((8, 64)))
+    near = unit(heads[rng.integers(0, 8, 2000)] + 0.03 * rng.standard_normal((2000, 64)))
+    far = unit(rng.standard_normal((2000, 64)))
+    assert N.share_left(near[:100], near[100:], N.fitted_centres(near[100:], 16), 5) < 0.4
+    assert N.share_left(far[:100], far[100:], N.fitted_centres(far[100:], 16), 5) > 0.9
+    assert N.share_left(far[:0], far, far[:2], 5) == N.share_left(far, far[:0], far[:2], 5) == 1.0
+
+
 def test_nearest_among_many_ties_and_near_ties(spark):
     rng = random.Random(9)
     base = [rng.random() - 0.5 for _ in range(16)]
