@@ -42,6 +42,7 @@ NO_LANGUAGE = "und"
 WINDOW = 1 << 18  # bytes that one numpy step takes
 COMPACT = 1 << 19  # fingerprints that a task holds before it adds them up
 SEND = 3 << 17  # and those that it sends then
+READ = 128  # texts whose phrases are read together
 PIECE = 1 << 16  # of which so many travel together
 BLOCK_BYTES = 2 << 20  # text bytes for each block of fingerprints
 MAP_BITS = 28  # a bitmap has 2^28 bits (32 MB) at most
@@ -278,7 +279,7 @@ def _read(pointed: DataFrame, longest: int) -> DataFrame:
     kind = pa.struct([("fp", pa.int64()), ("mark", pa.int32())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(low, READ) for b in batches for low in range(0, b.num_rows, READ)):
             langs, phrases, rows = [], [], []
             for lang, text, found in zip(*(batch.column(c) for c in ("lang", "t", "found")), strict=True):
                 data = text.as_buffer().to_pybytes().translate(_TABLE)
