@@ -33,7 +33,7 @@ COSINE = 0.9
 SAMPLE = 16_384
 CELLS = 1_024  # at most
 FILL = 1_024  # classes of a usual cell
-SHARD = 2_048
+SHARD = 4_096  # classes that one task compares: cells overlap, so a usual one has several times FILL
 OVERLAP = 2  # at least
 SIGMAS = 2.5
 DEGREE = 24
