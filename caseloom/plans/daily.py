@@ -7,6 +7,7 @@ import logging
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from caseloom import schemas
 from caseloom.operators.packet import CaseFrames, Limits, packet_json, paged
@@ -54,13 +55,28 @@ def _write(spark: SparkSession, frames: CaseFrames, out: str, files: int) -> Non
     further = frames.further_alerts
     further.write.mode("overwrite").parquet(f"{out}/case_further_alerts")
     further = spark.read.schema(further.schema).parquet(f"{out}/case_further_alerts")
-    write_by_case(packet_json(paged(packet, further)), f"{out}/case_packet_json", files)
+    _write_json(packet, further, f"{out}/case_packet_json")
     write_by_case(frames.timeline_daily, f"{out}/tx_timeline_daily", files)
     # By position, so that a page's filter leaves one file or two to read.
     queue = numbered_queue(packet).repartitionByRange("position").sortWithinPartitions("position")
     queue.write.mode("overwrite").parquet(f"{out}/case_queue")
 
 
+def _write_json(packet: DataFrame, further: DataFrame, path: str) -> None:
+    """The JSON form without a shuffle of the packets: each task writes the slices that it reads.
+
+    Cases with further pages are few and are written apart; their ids are joined by Spark's own
+    size check.
+    """
+    many, large = not further.isEmpty(), further.select("case_id").distinct()
+    single = packet.join(large, "case_id", "left_anti") if many else packet
+    single = single.select(*packet.columns, F.lit(0).alias("page"), F.lit(1).alias("pages"))
+    packet_json(single).sortWithinPartitions("case_id").write.mode("overwrite").parquet(path)
+    if many:
+        pages = paged(packet.join(large, "case_id", "left_semi").select(*packet.columns), further)
+        packet_json(pages).write.mode("append").parquet(path)
+
+
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--base-path", default="data", help="folder with the input CSV files")

@@ -385,6 +385,11 @@ FROM m_short t LEFT JOIN fx_merchants m ON t.merchant_id=m.merchant_id""",
     "v_case_queue": "SELECT * EXCLUDE (position) FROM queue",
     "case_packet_json_pages": """SELECT case_id, page, pages, CASE WHEN pages>1 THEN page END AS told_page,
   CASE WHEN pages>1 THEN pages END AS told_pages, CAST(n%2 AS INT) AS place, alert_id
+FROM (SELECT case_id, alert_id, n, CAST(n//2 AS INT) AS page, CAST((total+1)//2 AS INT) AS pages FROM (
+  SELECT case_id, alert_id, count(*) OVER (PARTITION BY case_id) AS total,
+    row_number() OVER (PARTITION BY case_id ORDER BY alert_timestamp_ms_utc DESC, alert_id DESC)-1 AS n FROM cased_alerts))""",
+    "copilot_prompt_pages": """SELECT case_id, page, page AS told_page, pages,
+  CAST(least(5, (SELECT count(DISTINCT chunk_id) FROM chunks)) AS INT) AS passages, CAST(n%2 AS INT) AS place, alert_id
 FROM (SELECT case_id, alert_id, n, CAST(n//2 AS INT) AS page, CAST((total+1)//2 AS INT) AS pages FROM (
   SELECT case_id, alert_id, count(*) OVER (PARTITION BY case_id) AS total,
     row_number() OVER (PARTITION BY case_id ORDER BY alert_timestamp_ms_utc DESC, alert_id DESC)-1 AS n FROM cased_alerts))""",

@@ -671,6 +671,21 @@ def copilot_prompts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register
+def copilot_prompt_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every alert of every case, from the messages of pages of two alerts each."""
+    pages = stage(frames(spark, sf, Limits(alert_page=2), staged=True).pages, "pages")
+    queries = policy.case_queries(pages.where("page = 0")).withColumnRenamed("case_id", "query_id")
+    prompts = review.prompts(pages, policy.passages(queries, _policy_index(spark, sf)))
+    shape = """case_packet STRUCT<page: INT, pages: INT, alerts: ARRAY<STRUCT<alert_id: STRING>>>,
+        policy_passages ARRAY<STRUCT<chunk_id: STRING>>"""
+    read = prompts.select("case_id", "page", F.from_json("user_message", shape).alias("read"))
+    return read.select(
+        "case_id", "page", F.col("read.case_packet.page").alias("told_page"), F.col("read.case_packet.pages").alias("pages"),
+        F.size("read.policy_passages").alias("passages"), F.posexplode("read.case_packet.alerts").alias("place", "alert"),
+    ).select("case_id", "page", "told_page", "pages", "passages", "place", "alert.alert_id")
+
+
 @register
 def copilot_validation(spark: SparkSession, sf: str) -> DataFrame:
     return review.validate(fixture(spark, sf, "fx_responses")).select("case_id", "error")
@@ -678,19 +693,20 @@ def copilot_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def copilot_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Two runs for all cases appended to one log, with the packets and passages of their prompts."""
+    """Two runs for all cases in one log, each delivered twice, with the packets and passages of their
+    prompts."""
     packets = written(spark, sf, "case_packet")
     queries = policy.case_queries(packets).withColumnRenamed("case_id", "query_id")
     prompted = stage(review.prompts(packets, policy.passages(queries, _policy_index(spark, sf))), "prompts")
     packets.select("case_id").createOrReplaceTempView("cases")
     checked = review.validate(fixture(spark, sf, "fx_case_responses"))
     path = scratch_path(spark, "runs")
-    for epoch in RUN_EPOCHS:
-        review.append_runs(review.run_log(checked, prompted, MODEL, epoch), path)
+    for epoch in (*RUN_EPOCHS, *RUN_EPOCHS):
+        review.commit_run(review.run_log(checked, prompted, MODEL, epoch), path, f"run-{epoch}")
     shape = "party_id STRING, alerts_count BIGINT, alerts ARRAY<STRING>"
     read = F.from_json("packet", shape)
     chunks = F.from_json("policy_passages", "ARRAY<STRUCT<chunk_id: STRING>>")["chunk_id"]
-    return spark.read.parquet(path).select(
+    return review.committed_runs(spark, path).select(
         "run_id", "case_id", read["party_id"].alias("party_id"), read["alerts_count"].alias("alerts_count"),
         F.size(read["alerts"]).alias("alerts"), F.array_join(chunks, ",").alias("chunks"),
         F.get_json_object("response", "$.case_summary").alias("case_summary"),

@@ -146,6 +146,32 @@ def test_runs_are_appended(spark, tmp_path):
     assert all(json.loads(r.response) == VALID for r in rows)
 
 
+def test_a_run_is_in_the_log_once_however_often_it_is_written(spark, tmp_path, monkeypatch):
+    prompted = spark.createDataFrame([("a", "{}", "[]")], "case_id string, packet string, policy_passages string")
+
+    def log(text, epoch):
+        rows = spark.createDataFrame([("a", json.dumps({**VALID, "case_summary": text})), ("b", "{}")], "case_id string, raw_response string")
+        return review.run_log(review.validate(rows), prompted, "model", epoch)
+
+    def content():
+        rows = review.committed_runs(spark, path).collect()
+        return sorted((r.run, r.run_id, json.loads(r.response)["case_summary"], str(r.run_date)) for r in rows)
+
+    path = str(tmp_path / "runs")
+    with pytest.raises(FileNotFoundError):
+        review.committed_runs(spark, path)
+    assert review.commit_run(log("one", 5), path, "r1") and not review.commit_run(log("again", 5), path, "r1")
+    first = [("r1", "a_5", "one", "1970-01-01")]
+    assert content() == first
+    # A run that breaks off before its name is there is not read, and is written over later.
+    log("lost", 86_405).write.mode("overwrite").partitionBy("run_date").parquet(f"{path}/records/run=r2")
+    assert content() == first
+    assert review.commit_run(log("two", 86_405), path, "r2")
+    assert content() == [*first, ("r2", "a_86405", "two", "1970-01-02")]
+    assert [r.run for r in review.committed_runs(spark, path, ["r2"]).collect()] == ["r2"]
+    assert review.commit_run(log("x", 7).limit(0), path, "empty") and len(content()) == 2
+
+
 def test_runs_of_pages_take_the_packet_of_their_page(spark):
     responses = spark.createDataFrame(
         [("a", 0, json.dumps(VALID)), ("a", 1, json.dumps(VALID)), ("b", 0, json.dumps(VALID))],
