@@ -1,6 +1,6 @@
 """Token ids as equal-length sequences in Arrow files.
 
-Documents in ascending id order are cut into parts of consecutive ids.  A part is two Arrow
+Documents in ascending id order are cut into parts by a range sort.  A part is two Arrow
 IPC files in a shared folder:
 
 * ``part-N.arrow``: batches of ``ids fixed_size_list<uint16 or uint32>[length]`` and
@@ -25,7 +25,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm import rolling
@@ -34,6 +35,7 @@ from caseloom.llm.common import Memo, stage, text_or_empty
 LENGTH = 2048
 BATCH = 64  # sequences in a record batch
 PART_BYTES = 8 << 20  # text bytes of a part, about
+PART_ROWS = 1 << 17  # and rows
 REMEMBERED = 300_000
 STEP_BYTES = 4 << 20  # text bytes that are coded together
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -298,71 +300,58 @@ class PartReader:
 def write(
     docs: DataFrame, folder: str, vocabulary: str, end_id: int, length: int = LENGTH,
     id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, rows: int = BATCH,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Write all texts; returns ``part, base, n_tokens`` per part (``base``: ids before it).
+    """Write all texts; returns ``part, n_tokens, n_docs`` per part.
 
-    Null texts count as empty and hold the end id only.  Rows without an id come first; equal
-    ids stay in one part, ordered by text.  Other columns are ignored; no rows, no parts.
+    Null texts count as empty and hold the end id only; very long ones are written whole.  Rows
+    without an id come first; rows of equal ids follow each other in the order of their texts' hashes,
+    over as many parts as they fill.  Other columns are ignored; no rows, no parts.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-size // part_bytes))
-    cuts = sorted(set(texts.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    # bounds is as long as there are parts; the first cut that is not below the id is its part
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else None
-    part = F.lit(0) if bounds is None else F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))), F.lit(0))
-    part = part if bounds is None else F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(vocabulary)
-        end = np.array([end_id], own.kind).tobytes()
-        for batch in batches:
-            coded = [ids + end for ids in own.encode_steps(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("part"), batch.column("doc_id"), pa.array(coded, pa.binary())],
-                names=["part", "doc_id", "ids"],
-            )
+    about = texts.agg(F.sum(F.length("text")).alias("size"), F.count("*").alias("n")).first()
+    parts = max(1, -(-(about["size"] or 0) // part_bytes), -(-about["n"] // part_rows))
+    # The row's number only cuts rows of one id and one text, which are all the same.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id()]
+    keyed = texts.select("doc_id", "text", order[1].alias("hash"), order[2].alias("row"))
+    keys = [order[0], "hash", "row"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, out, at = coder(vocabulary), None, None
-
-        def done():
+        own, at = coder(vocabulary), TaskContext.get().partitionId()
+        end, out = np.array([end_id], own.kind).tobytes(), None
+        for batch in batches:
+            if batch.num_rows and out is None:
+                out = PartWriter(folder, at, own.kind, length, rows)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode_steps(batch.column("text")), strict=True):
+                out.add(doc_id, ids + end)
+        if out:
             out.close()
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [pa.array([at], pa.int32()), pa.array([out.total], pa.int64()), pa.array([len(out.docs)], pa.int64())],
                 names=["part", "n_tokens", "n_docs"],
             )
 
-        for batch in batches:
-            for number, doc_id, ids in zip(*(batch.column(c) for c in ("part", "doc_id", "ids")), strict=True):
-                if number.as_py() != at:
-                    if out:
-                        yield done()
-                    at = number.as_py()
-                    out = PartWriter(folder, at, own.kind, length, rows)
-                out.add(doc_id.as_py(), ids.as_buffer().to_pybytes())
-        if out:
-            yield done()
-
-    coded = texts.select(part.cast("int").alias("part"), "doc_id", "text").mapInArrow(
-        encode, "part int, doc_id long, ids binary"
+    sorted_ = keyed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    return stage(sorted_.mapInArrow(pack, "part int, n_tokens long, n_docs long"), "parts")
+
+
+def placed(parts: DataFrame, block: int = 4_096) -> DataFrame:
+    """``part, base`` (ids in all earlier parts) by sums inside blocks of parts and over the blocks."""
+    each = parts.select("part", "n_tokens", F.expr(f"part div {block}").alias("block"))
+    earlier = (Window.unboundedPreceding, -1)
+    inside = F.sum("n_tokens").over(Window.partitionBy("block").orderBy("part").rowsBetween(*earlier))
+    sums = each.groupBy("block").agg(F.sum("n_tokens").alias("n"))
+    # One row per block of parts.
+    before = F.sum("n").over(Window.orderBy("block").rowsBetween(*earlier))
+    bases = sums.select("block", F.coalesce(before, F.lit(0)).alias("before"))
+    return each.select("part", "block", F.coalesce(inside, F.lit(0)).alias("inside")).join(bases, "block").select(
+        "part", (F.col("inside") + F.col("before")).alias("base")
     )
-    packed = (
-        coded.repartition("part").sortWithinPartitions("part", "doc_id", "ids")
-        .mapInArrow(pack, "part int, n_tokens long, n_docs long")
-    )
-    return stage(packed, "parts")
 
 
 def read_documents(spark: SparkSession, folder: str, parts: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files; ``start`` counts
     all ids before the document in ascending order of ids."""
-    # One row per part: the list of parts is what the driver holds of the data.
-    sizes = sorted((r["part"], r["n_tokens"]) for r in parts.select("part", "n_tokens").collect())
-    placed, base = [], 0
-    for part, count in sizes:
-        placed.append((part, base))
-        base += count
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,6 +368,5 @@ def read_documents(spark: SparkSession, folder: str, parts: DataFrame) -> DataFr
                     columns, names=["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
-    listed = spark.createDataFrame(placed, "part int, base long")
-    listed = listed.repartition(max(1, len(placed)))
+    listed = placed(parts).repartition(max(1, parts.count()))
     return listed.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")

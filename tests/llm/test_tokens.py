@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +142,25 @@ def test_sequences_are_views_of_the_file(spark, documents, tmp_path):
     assert pa.total_allocated_bytes() - before < 4096
 
 
+def test_rows_of_one_id_and_empty_texts_fill_several_parts(spark, documents, tmp_path):
+    library = Tokenizer.from_file(WORDS)
+    rows = [(7, "the same words again") if k % 3 == 0 else (7, f"words {k}") if k % 3 == 1 else (None if k % 2 else k, None) for k in range(300)]
+    folder = str(tmp_path / "hot")
+    parts = seqfile.write(documents(rows), folder, WORDS, 2, 16, part_bytes=400, rows=4, part_rows=20)
+    sizes = [r.n_docs for r in parts.collect()]
+    assert sum(sizes) == 300 and max(sizes) < 60
+    bases = {r.part: r.base for r in seqfile.placed(parts, block=3).collect()}
+    before = 0
+    for r in sorted(parts.collect()):
+        assert bases[r.part] == before
+        before += r.n_tokens
+    got = sorted(seqfile.read_documents(spark, folder, parts).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    expected = Counter((i, zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t in rows)
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == expected
+
+
 def test_no_documents_no_parts(spark, documents, tmp_path):
     docs = documents([]).withColumn("part", F.lit(1))
     parts = seqfile.write(docs, str(tmp_path / "none"), WORDS, 2)
