@@ -41,6 +41,19 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.options(header="true", quote='"', escape='"').csv(path)
 
 
+def write_named_csv(df: DataFrame, folder: str, name: str) -> None:
+    """Write one file of a given name, as exchanged files have: the rows must be few enough for one
+    task.  The file appears under its name when it is whole."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    made = f"{folder}/.{name}-made"
+    write_csv(df.coalesce(1), made)
+    system = path(made).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.globStatus(path(f"{made}/part-*")):
+        system.rename(status.getPath(), path(f"{folder}/{name}"))
+    system.delete(path(made), True)
+
+
 def read_inputs(spark: SparkSession, base: str, match_header: bool = False) -> dict[str, DataFrame]:
     """The five inputs of a run; alerts come from one file per model family."""
     return {

@@ -301,6 +301,8 @@ _NARROW = "EXCLUDE (case_window_start_ms_utc, case_window_end_ms_utc)"
 QUERIES = {
     "csv_roundtrip": "SELECT * FROM fx_transactions",
     "alerts_multi_file_scan": """SELECT * REPLACE (nullif(supporting_txn_ids,'') AS supporting_txn_ids,
+  nullif(data_quality_flags,'') AS data_quality_flags) FROM fx_alerts""",
+    "alerts_by_drops": """SELECT * REPLACE (nullif(supporting_txn_ids,'') AS supporting_txn_ids,
   nullif(data_quality_flags,'') AS data_quality_flags) FROM fx_alerts""",
     "parquet_roundtrip": "SELECT * FROM by_day",
     "case_lookup": f"""SELECT case_id, party_id, party_name, alerts_high, txn_count_case,
@@ -313,6 +315,14 @@ FROM by_day WHERE {_HIGH}""",
 FROM (SELECT *, regexp_extract(path,'([^/]*)\\.[^./]*$',1) AS title FROM fx_files
   WHERE lower(regexp_extract(path,'\\.([^./]*)$',1)) IN ('md','markdown','txt'))""",
     "schema_contract": _contract(),
+    "contract_offenders": """SELECT 'merchants' AS "table", "column", rule, key, CAST(place AS INT) AS place FROM (
+  SELECT "column", rule, key, row_number() OVER (PARTITION BY "column", rule ORDER BY key) AS place FROM (
+    SELECT 'country' AS "column", 'required' AS rule, merchant_id AS key FROM fx_merchants
+      WHERE country='Brand#13'
+    UNION ALL SELECT 'country', 'required', merchant_id FROM fx_merchants
+      WHERE country='Brand#13' AND starts_with(merchant_category,'PROMO')
+    UNION ALL SELECT 'merchant_id', 'unique', merchant_id FROM fx_merchants WHERE starts_with(merchant_category,'PROMO')))
+WHERE place<=7""",
     "dataset_counts": "\nUNION ALL ".join(
         f"SELECT '{n}' AS dataset, count(*) AS rows FROM fx_{n}" for n in _KEY
     ),

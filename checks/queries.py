@@ -20,7 +20,7 @@ from caseloom.operators.partials import DayPartials
 from caseloom.plans import daily, incremental, policy_index
 from caseloom.plans.views import register_views
 from caseloom.session import scratch_path, stage
-from caseloom.sources import contract, corpus, datasets
+from caseloom.sources import contract, corpus, datasets, drops
 
 from checks.fixtures import fixture, inputs, table, write_files
 
@@ -32,6 +32,8 @@ SHORT = Limits(supporting_transactions=3, top_counterparties=3, top_merchants=3)
 
 RUN_EPOCHS = (1_700_000_000, 1_700_100_000)
 MODEL = "drafting-model"
+# 1 June 1998: what is later comes with the second run or drop.
+SECOND_RUN_MS = 896_659_200_000
 
 
 def register(query: Query) -> Query:
@@ -85,6 +87,22 @@ def alerts_multi_file_scan(spark: SparkSession, sf: str) -> DataFrame:
     return datasets.read_csv(spark, f"{base}/alerts_*.csv", schemas.schema("alerts"))
 
 
+@register
+def alerts_by_drops(spark: SparkSession, sf: str) -> DataFrame:
+    """Alert files in two drops, the second of which brings the first one's again."""
+    root, schema = scratch_path(spark, "drops"), schemas.schema("alerts")
+    alerts = inputs(spark, sf)["alerts"]
+    for day in ("1", "2"):
+        for again in ("1", "2")[: int(day)]:
+            rows = alerts.where((F.col("alert_timestamp_ms_utc") >= SECOND_RUN_MS) == F.lit(again == "2"))
+            # One file of a fixed name per model family and drop.
+            for model in ("cash", "wires", "credit_cards", "loans", "ngi"):
+                part = rows.where(F.col("model_type") == model)
+                datasets.write_named_csv(part, f"{root}/in/{day}", f"alerts_{model}_{again}.csv")
+        drops.take_drops(spark, f"{root}/in/*", schema, f"{root}/store")
+    return drops.read_drops(spark, schema, f"{root}/store").drop("source_file")
+
+
 @register
 def parquet_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "roundtrip")
@@ -143,6 +161,15 @@ def schema_contract(spark: SparkSession, sf: str) -> DataFrame:
     return contract.check(tables).unionByName(found)
 
 
+@register
+def contract_offenders(spark: SparkSession, sf: str) -> DataFrame:
+    """The first keys that break a rule, among merchants of which some are doubled or lack a country."""
+    merchants = inputs(spark, sf)["merchants"]
+    doubled = merchants.where(F.col("merchant_category").startswith("PROMO"))
+    broken = merchants.unionByName(doubled).withColumn("country", F.nullif("country", F.lit("Brand#13")))
+    return contract.offending({"merchants": broken}, each=7)
+
+
 @register
 def dataset_counts(spark: SparkSession, sf: str) -> DataFrame:
     return datasets.row_counts(inputs(spark, sf))
@@ -300,9 +327,6 @@ def rolling_tx_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- datasets kept up to date -------------------------------------------------------
 
-# 1 June 1998: what is later comes with the second run.
-SECOND_RUN_MS = 896_659_200_000
-
 
 def _kept_up(spark: SparkSession, sf: str) -> str:
     """Datasets of two runs: everything but the last months, then these and the merchants of a brand."""
