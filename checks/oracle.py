@@ -350,6 +350,8 @@ WHERE place<=7""",
     "merchant_totals_by_day": f"SELECT {_TOTAL} FROM by_merchant",
     "tx_timeline_by_day": "SELECT * FROM by_day",
     "case_packet_kept_up": "SELECT * FROM packet_full",
+    "triage_page_kept_up": """SELECT *, (SELECT count(*) FROM cases) AS total FROM queue
+WHERE position>=300 AND position<800""",
     "tx_timeline_kept_up": "SELECT * FROM by_day",
     "case_packet_by_day": "SELECT * FROM packet_full",
     "instrument_breakdown": f"SELECT {_TOTAL} FROM by_instrument",

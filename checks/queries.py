@@ -350,6 +350,13 @@ def case_packet_kept_up(spark: SparkSession, sf: str) -> DataFrame:
     return flat_packet(incremental.read(spark, _kept_up(spark, sf), "case_packet"))
 
 
+@register
+def triage_page_kept_up(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of the queue after two runs, from the bands of the risk score that it lies in."""
+    page = incremental.queue_page(spark, _kept_up(spark, sf), limit=500, offset=300)
+    return page.withColumn("amount_total_usd_case", usd6("amount_total_usd_case"))
+
+
 @register
 def tx_timeline_kept_up(spark: SparkSession, sf: str) -> DataFrame:
     rows = incremental.read(spark, _kept_up(spark, sf), "tx_timeline_daily")

@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import pytest
+from caseloom.operators import triage
 from caseloom.operators.packet import Limits
 from caseloom.plans import incremental
 from tests.rows import DAY, alert, inputs, txn
@@ -36,7 +37,7 @@ def tables():
     alerts = []
     for k in range(60):
         start = rng.randrange(0, 3) * 5 * DAY
-        alerts.append(alert(f"A{k}", party=rng.choice(parties[:-2]), start=start, end=start + 10 * DAY - 1, supporting_txn_ids=f"T{k}|T{k + 100}"))
+        alerts.append(alert(f"A{k}", party=rng.choice(parties[:-2]), start=start, end=start + 10 * DAY - 1, supporting_txn_ids=f"T{k}|T{k + 100}", risk_score=rng.choice([None, 12.5, 12.75, 99.0, 250.0, -3.0, float(k)])))
     alerts += [alert(f"B{k}", party="P0") for k in range(5)]  # several pages
     return {
         "transactions": txns, "alerts": alerts,
@@ -81,6 +82,14 @@ def test_a_change_gives_what_a_full_run_gives(spark, tables, tmp_path, change):
     assert all(now[path] == own for path, own in before.items())  # nothing is written over
     again = {p.split("slice=")[1].split("/")[0] for p in now if p not in before and "/case_packet/" in p}
     assert again
+    wanted = triage.numbered_queue(incremental.read(spark, full, "case_packet")).orderBy("position").collect()
+    pages = []
+    for offset in (0, 7, 30):
+        page = incremental.queue_page(spark, root, 7, offset).collect()
+        assert {r.total for r in page} <= {len(wanted)}
+        assert [r.asDict() | {"total": None} for r in page] == [r.asDict() | {"total": None} for r in wanted[offset : offset + 7]]
+        pages += page
+    assert len(pages) >= 14
     incremental.apply(spark, inputs(spark, **after), delta, root, "2", LIMITS)  # delivered again
     assert files(root) == now
     gone_paths = incremental.vacuum(spark, root)
