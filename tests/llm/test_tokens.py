@@ -201,14 +201,34 @@ def test_ledger_equals_a_recount(spark, documents, tmp_path):
     assert not ledger.apply("2", count(revised), gone)  # delivered again
     assert held() == recount([r[1:4] for r in now])
     # a job that died leaves files without a marker; they do not count, and the batch can run
-    count(first).write.parquet(f"{tmp_path}/ledger/batch=3")
-    (tmp_path / "ledger" / "batch=3" / "_SUCCESS").unlink()
+    count(first).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{tmp_path}/ledger/rows/part=b-3")
     assert held() == recount([r[1:4] for r in now])
     assert ledger.apply("3", count([(1, "one two", "en", "a", 0)], "v2"))
     totals = held()
     assert ("a", "en", "v2", 1, 2, 7) in totals
     assert {t for t in totals if t[2] == "v1"} == recount([r[1:4] for r in now])
     assert ledger.apply("4") and ledger.committed() == ["1", "2", "3", "4"]
+    # totals read sums only; put together, nothing changes, and batches go on
+    assert all("/sums/" in file for file in ledger.totals().inputFiles())
+    ledger.compact()
+    assert held() == totals and ledger.committed() == ["1", "2", "3", "4"]
+    assert not ledger.apply("2", count(revised), gone) and held() == totals
+    assert ledger.apply("5", deletes=spark.createDataFrame([(1,)], "doc_id long"))
+    assert held() == recount([r[1:4] for r in now if r[0] != 1])
+    # one id falls in one bucket, and no other is read
+    assert len({r.bucket for r in ledger.rows().where("doc_id = 2").select("bucket").distinct().collect()}) == 1
+    ledger.compact()
+    assert held() == recount([r[1:4] for r in now if r[0] != 1])
+    assert {file.split("/rows/")[1].split("/")[0] for file in ledger.rows().inputFiles()} == {"part=c-2"}
+
+
+def test_an_id_with_very_many_rows_is_one_row_of_the_ledger(spark, documents, tmp_path):
+    ledger = token_counts.Ledger(spark, str(tmp_path / "ledger"), buckets=4)
+    rows = [(7, "same words", "en", "s", 0)] * 300 + [(None, "no name", "en", "s", 0)] * 300
+    ledger.apply("1", token_counts.counted(documents(rows), BYTES, "v1"))
+    assert ledger.rows().count() == 2 and {tuple(r) for r in ledger.totals().collect()} == recount([r[1:4] for r in rows])
+    ledger.apply("2", deletes=spark.createDataFrame([(7,), (None,)], "doc_id long"))
+    assert {tuple(r) for r in ledger.totals().collect()} == recount([r[1:4] for r in rows[300:]])
 
 
 def test_token_totals_of_the_test_table(spark):
