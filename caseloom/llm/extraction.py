@@ -4,9 +4,13 @@ A page is read as a list of text blocks, each with the path of block-level tags
 Text length, punctuation and link text are added up per path.  A path's text ratio is its
 length outside links per block, its punctuation ratio the punctuation per block; both are
 smoothed over neighbouring paths in page order and fused as a product.  Paths above a threshold are
-content, and with them the blocks of the same container, so that a heading or a short
-paragraph of the article stays.  Blocks in menus, forms, adverts and the like (by tag, role or
-class) are never content.
+content.  The element that holds them (article, main or the nearest container) keeps its other
+blocks too, and paragraphs and headings of sibling containers that come before the last content
+stay, so that a heading, lead or short paragraph is not lost.
+
+Blocks in menus, forms, adverts, notices, comments and the like (by tag, role or class) are never
+content.  Classes that may hold prose as well (``DOUBTFUL``) lower the score of their path, and
+such blocks stay only if their own ratios are those of content.
 """
 
 from __future__ import annotations
@@ -45,9 +49,12 @@ BOILERPLATE = frozenset(
     "promotion sidebar sidebars sidenav nav navbar navigation navi menu menus menubar breadcrumb breadcrumbs "
     "footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "recommendations trending comment comments commentlist disqus reply replies respond discussion widget "
-    "widgets pagination pager search searchform copyright legal disclaimer skip toast aside".split()
+    "recommendations trending comment comments commentlist disqus reply replies respond "
+    "pagination pager search searchform copyright toast aside".split()
 )
+DOUBTFUL = frozenset("discussion widget widgets legal disclaimer skip".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+HOLDERS = frozenset("article main section div td body".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist status".split())
 PUNCTUATION = re.compile(r"[.,;:!?…、。¿¡]")
 TAG = re.compile(
@@ -59,6 +66,9 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 THRESHOLD = 0.2  # of the strongest path
+DOUBT = 0.3  # weight of a path with a doubtful class
+ELSEWHERE = 0.05  # weight of a path outside the article or main element that a page has
+LINKED = 0.6  # share of link text from which a block is a list of links
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -69,6 +79,11 @@ def attributes(text: str) -> dict[str, str]:
     return found
 
 
+def marks(own: dict[str, str]) -> set[str]:
+    """Words of class and id."""
+    return set(re.split(r"[^a-z]+", HUMP.sub(" ", own.get("class", "") + " " + own.get("id", "")).lower()))
+
+
 def is_outside(tag: str, own: dict[str, str]) -> bool:
     """Whether an element is a menu, form, advert or the like, or is hidden."""
     if tag in ("html", "body", "main"):
@@ -77,23 +92,23 @@ def is_outside(tag: str, own: dict[str, str]) -> bool:
         return True
     if own.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", own.get("style", ""), re.I):
         return True
-    marks = HUMP.sub(" ", own.get("class", "") + " " + own.get("id", ""))
-    return not BOILERPLATE.isdisjoint(re.split(r"[^a-z]+", marks.lower()))
+    return not BOILERPLATE.isdisjoint(marks(own))
 
 
 class Block:
-    """Text of one block, its path, and whether it is outside the content by its place."""
+    """Text of one block, its path, its link text, and whether its place is outside the content
+    or doubtful."""
 
-    __slots__ = ("link", "outside", "path", "text")
+    __slots__ = ("doubtful", "link", "outside", "path", "text")
 
-    def __init__(self, path: tuple[str, ...], outside: bool, text: str, link: int):
-        self.path, self.outside, self.text, self.link = path, outside, text, link
+    def __init__(self, path: tuple[str, ...], outside: bool, doubtful: bool, text: str, link: int):
+        self.path, self.outside, self.doubtful, self.text, self.link = path, outside, doubtful, text, link
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order; works on broken markup as well."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, name in the path, outside
+    stack: list[tuple[str, str, bool, bool]] = []  # tag, name in the path, outside, doubtful
     pieces: list[tuple[str, bool]] = []
     links = 0
 
@@ -103,7 +118,8 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(p for p, _ in pieces).split())
             if text:
                 link = sum(len(" ".join(p.split())) for p, in_link in pieces if in_link)
-                out.append(Block(tuple(s[1] for s in stack), bool(stack) and stack[-1][2], text, link))
+                outside, doubtful = stack[-1][2:] if stack else (False, False)
+                out.append(Block(tuple(s[1] for s in stack), outside, doubtful, text, link))
             pieces = []
 
     def pop_to(names: set[str], stops: tuple[str, ...]) -> None:
@@ -160,7 +176,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if found[3].rstrip().endswith("/") and tag in ("svg", "math"):
             continue
-        stack.append((tag, name, outside))
+        doubtful = (bool(stack) and stack[-1][3]) or (tag not in ("html", "body", "main") and not DOUBTFUL.isdisjoint(marks(own)))
+        stack.append((tag, name, outside, doubtful))
     flush()
     return out
 
@@ -172,38 +189,73 @@ def _smooth(values: list[float]) -> list[float]:
     return [0.15 * a + 0.7 * b + 0.15 * c for a, b, c in zip(padded, padded[1:], padded[2:], strict=False)]
 
 
-def _container(path: tuple[str, ...]) -> tuple[str, ...]:
-    for i in range(len(path) - 1, -1, -1):
-        if path[i].split(".")[0] in ("article", "main", "section", "div", "td", "body"):
-            return path[: i + 1]
+def _tag(name: str) -> str:
+    return name.split(".")[0]
+
+
+def _holder(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The article or main element around a path, else its nearest container."""
+    for tags in (("article", "main"), HOLDERS):
+        for i in range(len(path) - 1, -1, -1):
+            if _tag(path[i]) in tags:
+                return path[: i + 1]
     return ()
 
 
-def main_text(page: str) -> str:
-    """Blocks of the article joined by one line feed; empty if there are none."""
-    found = [b for b in blocks(page) if not b.outside]
-    if not found:
-        return ""
+def _parent(holder: tuple[str, ...]) -> tuple[str, ...]:
+    return holder if not holder or _tag(holder[-1]) == "body" else holder[:-1]
+
+
+def path_ratios(found: list[Block]) -> dict[tuple[str, ...], tuple[float, float]]:
+    """Per path, in page order: product of its smoothed ratios, and that product weighted by
+    the amount of text, the place and doubtful classes."""
     totals: dict[tuple[str, ...], list[float]] = {}
     for b in found:
-        sums = totals.setdefault(b.path, [0, 0, 0])
+        sums = totals.setdefault(b.path, [0, 0, 0, 1.0])
         sums[0] += max(0, len(b.text) - b.link)
         sums[1] += len(PUNCTUATION.findall(b.text))
         sums[2] += 1
+        sums[3] = DOUBT if b.doubtful else sums[3]
     text = _smooth([s[0] / s[2] for s in totals.values()])
-    marks = _smooth([(s[1] + 0.5) / s[2] for s in totals.values()])
-    # An article or main element holds the content where a page has one.
-    inside = [any(t.split(".")[0] in ("article", "main") for t in path) for path in totals]
-    weight = [s[0] ** 0.5 * (1.0 if own or not any(inside) else 0.05) for s, own in zip(totals.values(), inside, strict=True)]
-    fused = [t * m * w for t, m, w in zip(text, marks, weight, strict=True)]
-    limit = THRESHOLD * max(fused)
-    content = {path for path, value in zip(totals, fused, strict=True) if value >= limit and value > 0}
+    points = _smooth([(s[1] + 0.5) / s[2] for s in totals.values()])
+    inside = [any(_tag(t) in ("article", "main") for t in path) for path in totals]
+    out = {}
+    for (path, sums), t, p, own in zip(totals.items(), text, points, inside, strict=True):
+        place = 1.0 if own or not any(inside) else ELSEWHERE
+        out[path] = (t * p, t * p * sums[0] ** 0.5 * place * sums[3])
+    return out
+
+
+def main_text(page: str) -> str:
+    """Blocks of the article joined by one line feed; empty if there are none."""
+    found = [b for b in blocks(page) if not b.outside]
+    if not found:
+        return ""
+    ratios = path_ratios(found)
+    limit = THRESHOLD * max(weighted for _, weighted in ratios.values())
+    content = {path for path, (_, weighted) in ratios.items() if weighted >= limit and weighted > 0}
     if not content:
-        content = set(totals)
-    places = {_container(path) for path in content}
-    kept = [b for b in found if b.path in content or (_container(b.path) in places and b.link < 0.6 * len(b.text))
-            or any(b.path[: len(c)] == c and c[-1].split(".")[0] in ("article", "main") for c in places if c)]
-    return "\n".join(b.text for b in kept)
+        content = set(ratios)
+    least = THRESHOLD * max(ratios[path][0] for path in content)
+    holders = {_holder(path) for path in content}
+    named = {h for h in holders if h and _tag(h[-1]) in ("article", "main")}
+    parents = {_parent(h) for h in holders - named}
+    last = max(i for i, b in enumerate(found) if b.path in content)
+
+    def stays(i: int, b: Block) -> bool:
+        if b.path in content:
+            return True
+        if b.doubtful and ratios[b.path][0] < least:
+            return False
+        holder = _holder(b.path)
+        if holder in named:
+            return True
+        if b.link >= LINKED * len(b.text):
+            return False
+        sibling = i < last and bool(b.path) and _tag(b.path[-1]) in PROSE and (holder in parents or _parent(holder) in parents)
+        return holder in holders or (sibling and not named)
+
+    return "\n".join(b.text for i, b in enumerate(found) if stays(i, b))
 
 
 def extract(
@@ -211,8 +263,8 @@ def extract(
 ) -> DataFrame:
     """``id_col, url_col, text, n_chars`` per page, in one pass without a shuffle.
 
-    Null pages count as empty; a page without content has the empty text.  Repeated rows give
-    equal texts; no rows give no rows; other columns are ignored.
+    Null pages count as empty; a page without content has the empty text.  Very long pages are
+    read whole.  Repeated rows give equal texts; no rows give no rows; other columns are ignored.
     """
 
     @F.arrow_udf("string")

@@ -99,6 +99,54 @@ def test_main_text_of_the_test_pages(spark):
         assert (r.text, r.n_chars) == (wanted, len(wanted))
 
 
+LONG = "A sentence of the story, which goes on for a while; it has commas, and it ends. " * 5
+DOC = "<body><nav><a href=x>Home</a></nav>{}<footer>Imprint, and more.</footer></body>"
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        # a lead and a heading beside the body, without an article element
+        (DOC.format(f"<h1>The title</h1><div class=intro><p>A short lead.</p></div><div class=body>{f'<p>{LONG}</p>' * 10}</div>"),
+         ["The title", "A short lead.", *[LONG.strip()] * 10]),
+        # the article in sibling containers, with a short one between
+        (DOC.format("".join(f"<div class=part{i}><p>{t}</p></div>" for i, t in enumerate([LONG, LONG, "Short one.", LONG, LONG]))),
+         [LONG.strip(), LONG.strip(), "Short one.", LONG.strip(), LONG.strip()]),
+        # a doubtful class with prose stays, one with a line of boilerplate goes
+        (DOC.format(f"<article>{f'<p>{LONG}</p>' * 3}<div class=legal><p>{LONG}</p></div><div class=disclaimer>All rights</div></article>"),
+         [LONG.strip()] * 4),
+        # content in a container of the article; its heading lies outside that
+        (DOC.format(f"<article><h1>Title</h1><div class=text>{f'<p>{LONG}</p>' * 2}</div><ul><li>One <li><a href=x>Two</a></ul></article>"),
+         ["Title", LONG.strip(), LONG.strip(), "One", "Two"]),
+        # lists of links and lines after the content are not part of it
+        (DOC.format(f"<div class=body>{f'<p>{LONG}</p>' * 3}</div><div class=more><a href=x>More of this</a></div><div class=end>Bye</div>"),
+         [LONG.strip()] * 3),
+        # of two articles the teasers go
+        (DOC.format(f"<article class=card><p>Teaser</p></article><article class=full>{f'<p>{LONG}</p>' * 3}</article>"), [LONG.strip()] * 3),
+    ],
+)
+def test_ratios_decide_where_no_article_does(page, wanted):
+    assert extraction.main_text(page).split("\n") == wanted
+
+
+def test_ratios_as_counted_plainly():
+    """Ratios of three paths, restated from their definition."""
+    texts = {"p": ["One, two. Three", "Four."], "div.x": ["no marks here"], "td": ["A, b, c, d!"]}
+    page = "<body>" + "".join(f"<p>{t}</p>" for t in texts["p"]) + f"<div class=x>{texts['div.x'][0]}</div><table><tr><td>{texts['td'][0]}</table>"
+    got = extraction.path_ratios(extraction.blocks(page))
+    length = [sum(map(len, v)) / len(v) for v in texts.values()]
+    points = [(sum(sum(c in ".,;:!?" for c in t) for t in v) + 0.5) / len(v) for v in texts.values()]
+
+    def smooth(v):
+        return [0.85 * v[0] + 0.15 * v[1], 0.15 * v[0] + 0.7 * v[1] + 0.15 * v[2], 0.15 * v[1] + 0.85 * v[2]]
+
+    plain = [a * b for a, b in zip(smooth(length), smooth(points), strict=True)]
+    weight = [sum(map(len, v)) ** 0.5 for v in texts.values()]
+    assert [path[-1] for path in got] == list(texts)
+    assert np.allclose([r for r, _ in got.values()], plain)
+    assert np.allclose([w for _, w in got.values()], [a * b for a, b in zip(plain, weight, strict=True)])
+
+
 def test_main_text_edges(spark):
     rows = [(1, "u", None), (1, "u", ""), (None, None, "<p>a &amp; b</p>"), (2, "u", "no markup < here > 3"), (3, "u", "<p>" * 3000 + "deep"),
             (4, "u", "<div " + "a='" * 2000), (5, "u", f"<article>{ARTICLE * 500}</article>"), (6, "u", "<nav>only a menu</nav>")]
@@ -120,10 +168,15 @@ def test_rules_follow_links(spark):
         (3, "http://z.net/", '<META http-equiv=refresh content="0; URL=http://y.net/a?b=1&c=2">'),
         (4, "http://w.org/", html.format("http://y.net/a?b=1&amp;c=2")), (5, "HTTP://V.net/p", ""),
         (6, None, html.format("http://y.net/a")), (7, "no scheme", None), (1, "https://x.com/de/1", ""),
-        (8, "http://A.example.org/en/12", ""), (9, "http://badexample.org/es/", ""), (10, "http://q.net/", html.format("http://b.com/de/"))]
+        (8, "http://A.example.org/en/12", ""), (9, "http://badexample.org/es/", ""), (10, "http://q.net/", html.format("http://b.com/de/")),
+        (11, "http://r.com/x/y?z=1", html.format("../de/./1")), (12, "https://s.com/a", html.format("/de/2?q=/../r")),
+        (13, "https://t.net/a/b", html.format("//u.com/de/3")), (14, "https://v2.com", html.format("de/4")),
+        (15, "http://g.net/", "<meta http-equiv='refresh' content=\"0;url='http://k.com/de/5'\">"),
+        (16, "http://h.com/de/6", html.format("#top")), (17, "http://i.com/c", html.format("mailto:a@b.com")),
+        (18, "http://j.com/c?v=2", html.format("?v=1")), (19, "x/y", html.format("/de/7"))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"node": F.lit(1), "host": F.lit("c")})
     got = urlrules.judge(pages).collect()
-    assert len(got) == 11
+    assert len(got) == 20
     by = {r.page_id: r for r in got}
     assert (by[1].rule, by[1].verdict) == ("com/de/", "block")
     # 4 is allowed by its own rule and in the class of 1, 2 and 3: the class is not blocked
@@ -132,6 +185,11 @@ def test_rules_follow_links(spark):
     assert (by[6].host, by[6].path, by[6].verdict) == ("", "", "allow") and by[7].host == ""
     assert by[8].rule == "example.org/en/1" and by[8].host == "a.example.org" and by[9].rule == "org/"
     assert by[5].host == "v.net"
+    # relative links are taken from the page: folder, site, scheme, a quoted refresh, a query
+    assert [by[i].verdict for i in (11, 12, 13, 14, 15)] == ["block"] * 5
+    assert by[11].component == "http://r.com/de/1" and by[12].component == "https://s.com/a"
+    assert by[14].component == "https://v2.com" and by[18].component == "http://j.com/c?v=1"
+    assert by[16].component is None and by[17].component is None and by[19].component is None
     log = spark.createDataFrame([("http://v.net/p", "http://q.net/#x"), (None, "a")], "a string, b string")
     assert {r.page_id: r for r in urlrules.judge(pages, redirects=log).collect()}[5].verdict == "block"
     assert urlrules.judge(pages.limit(0)).collect() == []
