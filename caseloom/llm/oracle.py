@@ -37,6 +37,29 @@ def _node(url: str) -> str:
     )
 
 
+def _resolved(base: str, target: str) -> str:
+    """The absolute URL of a link, as in urlrules.resolved."""
+
+    def of(text: str, pattern: str) -> str:
+        return f"regexp_extract({text}, {_quoted(pattern)}, 1)"
+
+    scheme, host = of(base, "(?s)^(.*?)://"), of(base, "(?s)^.*?://([^/?#]*)")
+    path, own = of(base, "(?s)^.*?://[^/?#]*([^?#]*)"), of(target, "(?s)^([^?#]*)")
+    asked = of(target, "(?s)^[^?#]*(.*)$")
+    folder = f"regexp_replace({path}, '(?s)[^/]*$', '') || CASE WHEN contains({path}, '/') THEN '' ELSE '/' END"
+    parts = f"string_split(substring(CASE WHEN starts_with({own}, '/') THEN {own} ELSE {folder} || {own} END, 2), '/')"
+    plain = (
+        f"list_reduce(list_prepend('', {parts}), lambda done, part: CASE part WHEN '.' THEN done "
+        "WHEN '..' THEN regexp_replace(done, '(?s)/[^/]*$', '') ELSE done || '/' || part END)"
+    )
+    return f"""CASE WHEN regexp_matches({target}, {_quoted(urlrules.ABSOLUTE)}) THEN {target}
+  WHEN {target} = '' OR starts_with({target}, '#') OR NOT contains({base}, '://') THEN NULL
+  WHEN starts_with({target}, '//') THEN {scheme} || ':' || {target}
+  WHEN regexp_matches({target}, {_quoted(urlrules.OTHER_SCHEME)}) THEN NULL
+  WHEN {own} = '' THEN {scheme} || '://' || {host} || {path} || {asked}
+  ELSE {scheme} || '://' || {host} || {plain} || CASE WHEN ({parts})[-1] IN ('.', '..') THEN '/' ELSE '' END || {asked} END"""
+
+
 def url_rules() -> str:
     targets = []
     for tag, target in ((urlrules.LINK_TAG, urlrules.HREF), (urlrules.REFRESH_TAG, urlrules.TARGET)):
@@ -47,8 +70,9 @@ def url_rules() -> str:
         )
     best = _best(urlrules.RULES)
     return f"""
-WITH RECURSIVE named AS ({" UNION ALL ".join(targets)}),
-links AS (SELECT {_node("a")} AS a, {_node("b")} AS b FROM named WHERE contains(b, '://')),
+WITH RECURSIVE found AS ({" UNION ALL ".join(targets)}),
+named AS (SELECT a, {_resolved("a", "b")} AS b FROM found),
+links AS (SELECT {_node("a")} AS a, {_node("b")} AS b FROM named WHERE b IS NOT NULL),
 both_ways AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
 reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
 member AS (SELECT node, other, {_parts("other")} FROM reach),

@@ -26,7 +26,9 @@ RULES = (
 LINK_TAG = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 REFRESH_TAG = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-TARGET = r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]+)"""
+TARGET = r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?([^"'\s>]+)"""
+ABSOLUTE = r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://.*$"
+OTHER_SCHEME = r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:.*$"  # mailto: and the like
 
 
 def ascii_lower(text: Column) -> Column:
@@ -59,8 +61,42 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), "&amp;|&#38;", "&")
 
 
+def resolved(base: Column, target: Column) -> Column:
+    """The absolute URL that a link of the page ``base`` means; null if it names no page.
+
+    ``//host/x`` takes the scheme of the page, ``/x`` its host, ``?x`` its path, and ``x`` its
+    folder, with ``.`` and ``..`` taken out; ``#x``, the empty link and other schemes name none.
+    A page without ``://`` has no relative links.
+    """
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    host = F.regexp_extract(base, r"(?s)^.*?://([^/?#]*)", 1)
+    path = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    site = F.concat(scheme, F.lit("://"), host)
+    asked = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    whole = F.when(F.startswith(own, F.lit("/")), own).otherwise(
+        F.concat(F.regexp_replace(path, r"(?s)[^/]*$", ""), F.when(F.contains(path, F.lit("/")), "").otherwise("/"), own)
+    )
+    parts = F.split(F.substring(whole, 2, 2**31 - 1), "/")
+    plain = F.aggregate(
+        F.slice(parts, 1, F.size(parts)), F.lit(""),
+        lambda done, part: F.when(part == ".", done)
+        .when(part == "..", F.regexp_replace(done, r"(?s)/[^/]*$", ""))
+        .otherwise(F.concat(done, F.lit("/"), part)),
+    )
+    folder = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    relative = F.when(own == "", F.concat(site, path, asked)).otherwise(F.concat(site, plain, folder, asked))
+    return (
+        F.when(F.rlike(target, F.lit(ABSOLUTE)), target)
+        .when((target == "") | F.startswith(target, F.lit("#")) | (F.locate("://", base) == 0), None)
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+        .when(F.rlike(target, F.lit(OTHER_SCHEME)), None)
+        .otherwise(relative)
+    )
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``a, b``: each page and the absolute URL that it names as canonical or refreshes to."""
+    """``a, b``: each page and the URL that it names as canonical or refreshes to, made absolute."""
 
     def targets(tag: str, target: str) -> Column:
         tags = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(tag), F.lit(0))
@@ -68,9 +104,9 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
     found = F.concat(targets(LINK_TAG, HREF), targets(REFRESH_TAG, TARGET))
     links = pages.where(F.col(url_col).isNotNull()).select(
-        F.col(url_col).alias("a"), F.explode(F.transform(found, unescaped)).alias("b")
+        F.col(url_col).alias("a"), F.explode(F.transform(found, unescaped)).alias("target")
     )
-    return links.where(F.contains("b", F.lit("://")))
+    return links.select("a", resolved(F.col("a"), F.col("target")).alias("b")).where("b is not null")
 
 
 def node(url: Column) -> Column:
@@ -92,7 +128,8 @@ def judge(
     verdict.  A page without one is blocked if a member of its class has a block rule and none
     an allow rule; else ``default``.  Null URLs and URLs without ``://`` have empty host and
     path, and no aliases if null.  Repeated rows are judged alike; ``component`` is the
-    smallest URL of the class, null for a page without aliases.
+    smallest URL of the class, null for a page without aliases.  Very long pages are searched
+    whole; no pages give no rows; other columns are ignored.
     """
     links = page_links(pages, url_col, html_col)
     if redirects is not None:
