@@ -51,6 +51,22 @@ def test_toxicity_never_sees_held_out_labels(documents, spark):
     assert np.array_equal(one.features, two.features) and np.allclose(one.weights, two.weights)
 
 
+def test_logistic_fit_against_newton_steps():
+    rng = np.random.default_rng(3)
+    x = (rng.random((80, 6)) < 0.4).astype(float)
+    y = (rng.random(80) < 1 / (1 + np.exp(1 - 2 * x[:, 0] + x[:, 1]))).astype(float)
+    scale = np.array([1.5, -1.0, 0.3, 0.8, -0.2, 0.5])
+    got, bias = toxicity.fit_logistic([np.flatnonzero(r) for r in x], y, scale)
+    design = np.column_stack([x * scale, np.ones(80)])
+    ridge = np.diag([toxicity.PENALTY] * 6 + [0.0])
+    best = np.zeros(7)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-design @ best))
+        curve = design.T @ (design * (p * (1 - p))[:, None]) + ridge
+        best -= np.linalg.solve(curve, design.T @ (p - y) + ridge @ best)
+    assert np.allclose([*got, bias], best, atol=0.02)
+
+
 def test_toxicity_without_labels(documents, spark):
     docs = documents([(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
