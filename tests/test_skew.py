@@ -84,6 +84,19 @@ def test_rows_are_repeated_for_their_own_partys_levels_only(spark, conf):
         assert "explode(_levels" in joined._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_windows_of_one_or_two_lengths_need_no_join_by_party(spark, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    alerts = [alert("a", party="P1", end=365 * DAY - 1), alert("b", party="P2", start=7 * DAY, end=8 * DAY - 1)]
+    txns = [txn(f"{p}-{d}", party=p, ts=d * DAY) for p in ("P1", "P2", "other") for d in (-1, 0, 7, 8, 364, 365)]
+    for some in (alerts, alerts[:1], []):
+        given = inputs(spark, transactions=txns, alerts=some)
+        joined = C.transactions_in_cases(given["transactions"], C.case_index(given["alerts"]))
+        held = {(t["txn_id"], a["window_start_ms_utc"]) for t in txns for a in some if t["party_id"] == a["party_id"]
+                and a["window_start_ms_utc"] <= t["txn_timestamp_ms_utc"] <= a["window_end_ms_utc"]}
+        assert sorted((r.txn_id, r[CASE_KEY[1]]) for r in joined.collect()) == sorted(held)
+        assert joined._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") <= 1
+
+
 def test_packet_of_a_hot_party_is_whole(spark):
     rows = CaseFrames(hot_inputs(spark, 9_000)).packet.where("party_id = 'HOT'").collect()
     assert [r.txn_count_case for r in rows] == [6000, 6000]
