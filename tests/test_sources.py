@@ -111,6 +111,15 @@ def test_corpus_of_empty_files(spark, tmp_path):
     assert [r.text for r in corpus.read_corpus(spark, str(tmp_path)).collect()] == [""]
 
 
+def test_corpus_is_listed_without_a_call_per_file(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        (tmp_path / f"s{i % 3}").mkdir(exist_ok=True)
+        write(tmp_path / f"s{i % 3}" / f"d{i}, 100% a+b.md", "" if i % 10 == 7 else f"text {i}")
+    monkeypatch.setattr(corpus, "_walked", None)
+    rows = {r.title: r.text for r in corpus.read_corpus(spark, str(tmp_path)).collect()}
+    assert rows == {f"d{i}, 100% a+b": "" if i % 10 == 7 else f"text {i}" for i in range(30)}
+
+
 def test_contract_lists_violations(spark):
     tables = inputs(
         spark,
