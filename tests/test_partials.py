@@ -38,6 +38,20 @@ def test_blocks_and_edges_cover_each_window_once(spark):
         assert len(blocks.get((start, end), [])) <= 2 * max(1, len(whole)).bit_length()
 
 
+def test_days_are_placed_in_wanted_blocks_only(spark):
+    """A day is in one block of a window, not in one of every level of its party."""
+    spans = [(0, 365 * DAY - 1), (365 * DAY, 731 * DAY - 1), (-5000 * DAY, -1000 * DAY - 1), (-9 * DAY, -7 * DAY - 1)]
+    days = [-5001, -5000, -3500, -2000, -1500, -1001, -1000, -9, -8, -7, 0, 1, 364, 365, 730, 731]
+    given = inputs(spark, transactions=[txn(f"t{d}", ts=d * DAY) for d in days])
+    for some in (spans, spans[:2], [(5, 6)]):
+        partials = P.DayPartials(C.with_usd(given["transactions"]), windows(spark, some))
+        placed = partials._placed(given["transactions"].select("party_id", P._floor_day(F.col(P.TS)).alias("_day")), partials.blocks, [])
+        held = [d for d in days for a, b in some if a <= d * DAY and (d + 1) * DAY - 1 <= b]
+        assert sorted(r._day for r in placed.collect()) == sorted(held)
+        assert all(r._block << r._level <= r._day < (r._block + 1) << r._level for r in placed.collect())
+        assert ("explode(_levels" in placed._jdf.queryExecution().optimizedPlan().toString()) == (some is spans)
+
+
 def test_value_ranges_rise_with_values(spark):
     values = [float("-inf"), -1e300, -7.5, -7.25, -1e-9, 0.0, 1e-300, 0.01, 1.0, 1.01, 1e9, 1e300, float("inf"), float("nan")]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", P.value_range("v").alias("r")).collect()
