@@ -489,8 +489,13 @@ def case_counterparties(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("amount_total_usd", usd6("amount_total_usd"))
 
 
+# Views that read the case transactions more than once.
+STAGED_VIEWS = ("v_case_queue", "v_case_packet")
+
+
 def _view(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    register_views(spark, frames(spark, sf, staged=True), [name])
+    """A view of one frame joins its own columns only and writes no table for others."""
+    register_views(spark, frames(spark, sf, staged=name in STAGED_VIEWS), [name])
     return spark.table(name)
 
 
