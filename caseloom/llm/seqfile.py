@@ -38,6 +38,8 @@ PART_BYTES = 8 << 20  # text bytes of a part, about
 PART_ROWS = 1 << 17  # and rows
 REMEMBERED = 300_000
 STEP_BYTES = 4 << 20  # text bytes that are coded together
+BLOCK = 1 << 18  # and of these, bytes that are hashed or compared at once: a number of eight bytes for each
+ASKED = 8_192  # runs that the library gets at once: it takes some hundred bytes for each of their letters
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SIGNS = np.zeros(256, bool)  # ASCII that is neither letter, digit, blank nor control
 _SIGNS[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -53,7 +55,9 @@ def _runs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
     if not len(start):
         return start, end
-    last = np.maximum.accumulate(np.where(_SIGNS[held], -1, np.arange(len(held))))[end - 1]
+    place = np.arange(len(held), dtype=np.int32 if len(held) < 1 << 31 else np.int64)
+    place[_SIGNS[held]] = -1
+    last = np.maximum.accumulate(place, out=place)[end - 1].astype(np.int64)
     tail = (last >= start) & (last < end - 1)
     at = last[tail]
     letter, before = held[at], held[np.maximum(at - 1, 0)]
@@ -69,13 +73,28 @@ def _stretches(values: np.ndarray, offset: np.ndarray, length: np.ndarray) -> np
     return values[np.repeat(offset - begin, length) + np.arange(length.sum())]
 
 
+def _blocks(start: np.ndarray) -> list[slice]:
+    """Runs by the block of bytes that they start in."""
+    if not len(start):
+        return []
+    edges = np.unique(np.r_[np.searchsorted(start, np.arange(0, start[-1] + 1, BLOCK)), len(start)]).tolist()
+    return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def _different(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the different runs, and for each run its place among them."""
     held, length = np.frombuffer(data, np.uint8), end - start
-    key = rolling.mix(rolling.cut(rolling.prefix(held.astype(np.uint64) + np.uint64(1), _BASE), start, end, _BASE))
+    key, blocks = np.empty(len(start), np.uint64), _blocks(start)
+    for own in blocks:
+        low = start[own.start]
+        letters = held[low : end[own.stop - 1]].astype(np.uint64) + np.uint64(1)
+        key[own] = rolling.mix(rolling.cut(rolling.prefix(letters, _BASE), start[own] - low, end[own] - low, _BASE))
     first, same = np.unique(key, return_index=True, return_inverse=True)[1:]
     one = first[same]
-    if (length[one] == length).all() and np.array_equal(_stretches(held, start[one], length), _stretches(held, start, length)):
+    if (length[one] == length).all() and all(
+        np.array_equal(_stretches(held, start[one[own]], length[own]), _stretches(held, start[own], length[own]))
+        for own in blocks
+    ):
         return first, same
     place: dict[bytes, int] = {}  # two runs with one hash
     runs = [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
@@ -116,7 +135,12 @@ class WordCoder:
             raise ValueError("added tokens without <| would be missed")
         self.between, self.mark = marks[0]["content"], marks[0]["id"]
 
-    def _ask(self, runs: list[bytes]) -> list[bytes]:
+    def _ask(self, runs: list[bytes]) -> Iterator[bytes]:
+        """Ids of each run, asked for in lots."""
+        for at in range(0, len(runs), ASKED):
+            yield from self._ask_lot(runs[at : at + ASKED])
+
+    def _ask_lot(self, runs: list[bytes]) -> list[bytes]:
         """Ids of each run; those with the beginning of an added token are asked for alone."""
         texts = [r.decode() for r in runs]
         plain = [t for t in texts if "<|" not in t]
@@ -154,7 +178,8 @@ class WordCoder:
         width = self.kind.itemsize
         length = np.fromiter(map(len, coded), np.int64, len(coded)) // width
         offset = np.cumsum(length) - length
-        ids = _stretches(np.frombuffer(b"".join(coded), self.kind), offset[same], length[same]).tobytes()
+        values = np.frombuffer(b"".join(coded), self.kind)
+        ids = b"".join(_stretches(values, offset[same[own]], length[same[own]]).tobytes() for own in _blocks(start))
         ends = np.r_[0, np.cumsum(length[same])][np.searchsorted(start, np.r_[begin, len(data) + 1])] * width
         cuts = zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
         return [special[k] if k in special else ids[a:b] for k, (a, b) in enumerate(cuts)]
