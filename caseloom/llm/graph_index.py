@@ -5,7 +5,8 @@
    cells and to every other that a point half-way to a partner in range may have as nearest (see
    :func:`reached`), so partners meet there.  A cell of more than ``SHARD`` classes is cut into chunks by hash; each pair of chunks
    is a shard, so no task holds a whole hot cell and no pair of a cell is lost.
-2. Each shard builds a graph: classes are inserted in doubling batches; a greedy search on the
+2. Each shard builds a graph of the classes that have its cell among their ``OVERLAP`` nearest, so that a
+   class is in as many graphs however many cells there are: classes are inserted in doubling batches; a greedy search on the
    graph so far and the batch itself give the candidates, robust pruning keeps at most ``DEGREE`` of them, and
    reverse edges are pruned alike.
 3. The adjacency lists of all shards are united by class.
@@ -220,7 +221,12 @@ def _usable(name: str):
 
 
 def reached(x: np.ndarray, centres: np.ndarray, limit: float) -> np.ndarray:
-    """Which cells (columns) each row of ``x`` goes to.
+    """Which cells (columns) each row of ``x`` goes to."""
+    return placed(x, centres, limit)[0]
+
+
+def placed(x: np.ndarray, centres: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which cells (columns) each row of ``x`` goes to, and which of them are its ``OVERLAP`` nearest.
 
     Two vectors with a cosine of ``limit`` share the cell c of the point half-way, which is no
     nearer to the nearest centre of either.  So c is at most tan(half the angle) times the centres'
@@ -234,14 +240,16 @@ def reached(x: np.ndarray, centres: np.ndarray, limit: float) -> np.ndarray:
     step = np.sqrt(max(0.0, 1 - limit) / max(1 + limit, 1e-12)) * min(1.0, SIGMAS / np.sqrt(x.shape[1]))
     member = gap <= step * np.sqrt(np.maximum(apart - gap**2, 0)) + 1e-12
     top = np.argsort(gap, axis=1, kind="stable")[:, :OVERLAP]
-    member[np.arange(len(x))[:, None], top] = True
-    return member
+    home = np.zeros_like(member)
+    home[np.arange(len(x))[:, None], top] = True
+    return member | home, home
 
 
 def shards_of(classes: DataFrame, limit: float = COSINE) -> DataFrame:
-    """``cell, a, b, side, cells, node, many, vector``: the members of each shard (cell, a, b).
+    """``cell, a, b, side, home, cells, node, many, vector``: the members of each shard (cell, a, b).
 
-    ``cells`` are all of the member's cells.  Vectors of different lengths are in different cells.
+    ``cells`` are all of the member's cells, its ``OVERLAP`` nearest (``home``) before the others.
+    Vectors of different lengths are in different cells.
     """
     total = classes.count()
     count = min(CELLS, max(1, -(-total * OVERLAP // FILL)))
@@ -266,23 +274,23 @@ def shards_of(classes: DataFrame, limit: float = COSINE) -> DataFrame:
             base, own = shared.value.get(int(length), (-1 - int(length), np.zeros((1, int(length)))))
             for low in range(0, len(at), 1_024):
                 cut = at[low : low + 1_024]
-                member = reached(unit(_rows(column.take(pa.array(cut)))), own, limit)
-                for i, row in zip(cut.tolist(), member, strict=True):
-                    out[i] = base + np.flatnonzero(row)
+                member, home = placed(unit(_rows(column.take(pa.array(cut)))), own, limit)
+                for i, row, near in zip(cut.tolist(), member, home, strict=True):
+                    out[i] = base + np.r_[np.flatnonzero(near), np.flatnonzero(row & ~near)]
         return pa.array(out, pa.list_(pa.int32()))
 
-    placed = stage(classes.select("node", "many", "vector", cells("vector").alias("cells")), "cells")
-    member = placed.select("node", F.explode("cells").alias("cell"))
+    dealt = stage(classes.select("node", "many", "vector", cells("vector").alias("cells")), "cells")
+    member = dealt.select("node", F.explode("cells").alias("cell"))
     sizes = member.groupBy("cell").count()
     parts = F.ceil(F.col("count") / SHARD).cast("int")
     sizes = sizes.select("cell", parts.alias("parts"))
-    each = placed.select("node", "many", "vector", "cells", F.explode("cells").alias("cell"))
+    each = dealt.select("node", "many", "vector", "cells", F.posexplode("cells").alias("at", "cell"))
     # One row per cell: CELLS at most, and one for each length of vector that the sample missed.
     each = each.join(sizes, "cell").withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     each = each.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return each.select(
         "cell", F.least("side", "with").alias("a"), F.greatest("side", "with").alias("b"), "side",
-        "cells", "node", "many", "vector",
+        (F.col("at") < OVERLAP).alias("home"), "cells", "node", "many", "vector",
     )
 
 
@@ -387,8 +395,8 @@ def near_duplicates(
 def _found(classes: DataFrame, limit: float) -> DataFrame:
     """``node, n_links, component_id`` per class."""
     shards = stage(shards_of(classes, limit), "shards")
-    built = shards.groupBy(*PLACE).applyInArrow(_build_shard, "node long, near array<long>")
-    # As many lists per class as it has shards: its cells, times the chunks of a hot cell.
+    built = shards.where("home").groupBy(*PLACE).applyInArrow(_build_shard, "node long, near array<long>")
+    # As many lists per class as it has graphs: OVERLAP, times the chunks of a hot cell.
     united = built.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
     united = stage(united, "graph")
 
