@@ -33,6 +33,7 @@ PENALTY = 1.0
 STEPS = 200
 CUT = 0.3
 REMEMBERED = 200_000
+TEXTS = 256  # taken at once
 
 
 def held_out(doc_id: Column) -> Column:
@@ -68,9 +69,9 @@ class Model:
         """Function from texts to scores, with a bounded memo of words."""
         place = dict(zip(self.features.tolist(), range(len(self.features)), strict=True))
 
-        def kept(many: list[str]) -> Iterator[frozenset[int]]:
+        def kept(many: list[str]) -> Iterator[tuple[int, ...]]:
             for word in many:
-                yield frozenset(place[f] for f in word_features(word) if f in place)
+                yield tuple(place[f] for f in word_features(word) if f in place)
 
         memo, none = Memo(kept, REMEMBERED), frozenset()
 
@@ -105,18 +106,23 @@ def training_rows(
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch], keep: np.ndarray | None) -> Iterator[tuple[np.ndarray, list]]:
-    memo = Memo(lambda many: map(word_features, many), REMEMBERED // 4)
-    for batch in batches:
+    """Labels and features (ascending) of a few texts at a time: a text has thousands of features."""
+    memo = Memo(lambda many: (np.array(word_features(word), np.int32) for word in many), REMEMBERED // 4)
+    seen = np.zeros(BUCKETS, bool)
+    for part in (batch.slice(at, TEXTS) for batch in batches for at in range(0, batch.num_rows, TEXTS)):
         out = []
-        for text in batch.column("text").to_pylist():
+        for text in part.column("text").to_pylist():
             own = words(text)
             memo.learn(own)
-            found = np.fromiter(set().union(*map(memo.__getitem__, own)), np.int64)
+            for features in map(memo.__getitem__, own):
+                seen[features] = True
+            found = np.flatnonzero(seen)
+            seen[found] = False
             if keep is not None:
                 at = np.minimum(np.searchsorted(keep, found), len(keep) - 1)
                 found = at[keep[at] == found]
-            out.append(np.sort(found))
-        yield np.array(batch.column("label").to_pylist(), np.int64), out
+            out.append(found)
+        yield np.array(part.column("label").to_pylist(), np.int64), out
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
@@ -220,6 +226,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
     def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Model(*shared.value).scorer()
         for batch in batches:
-            yield pa.array(scorer(batch.to_pylist()), pa.float64())
+            parts = [scorer(batch.slice(at, TEXTS).to_pylist()) for at in range(0, len(batch), TEXTS)]
+            yield pa.array(np.concatenate([np.empty(0), *parts]), pa.float64())
 
     return docs.select(*names, rate(text_or_empty(text_col)).alias(out))

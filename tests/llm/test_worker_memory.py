@@ -1,9 +1,11 @@
 import random
 import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from public_tokenizers import path
 
-from caseloom.llm import seqfile
+from caseloom.llm import seqfile, toxicity
 
 
 def peak_mb(work):
@@ -29,3 +31,20 @@ def test_words_of_a_step_are_hashed_in_blocks(monkeypatch):
     monkeypatch.setattr(seqfile, "BLOCK", 1 << 30)
     monkeypatch.setattr(seqfile, "ASKED", 1 << 30)
     assert seqfile.WordCoder(path("word_bpe_49k.json")).encode(text) == found[0]
+
+
+def test_features_are_found_a_few_texts_at_a_time():
+    rng, words = random.Random(2), invented(3_000, 2)
+    texts = [" ".join(rng.choices(words, k=150)) for _ in range(2_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([0] * len(texts))], names=["text", "label"])
+    rows = []
+
+    def work():
+        for label, found in toxicity._feature_rows(iter([batch]), None):
+            rows.append(len(label))
+            assert all((np.diff(f) > 0).all() for f in found)
+
+    assert peak_mb(work) < 40 and sum(rows) == len(texts)
+    (label, (found,)), = toxicity._feature_rows(iter([batch.slice(0, 1)]), None)
+    plain = sorted(set().union(*map(toxicity.word_features, toxicity.words(texts[0]))))
+    assert found.tolist() == plain
