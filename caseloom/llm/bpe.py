@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import Memo, text_or_empty
+from caseloom.llm.common import Memo, kept, text_or_empty
 
 # Fixed value: the public pattern of byte-level words.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -140,14 +140,9 @@ class BytePairs:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, BytePairs] = {}
-
-
 def load(path: str) -> BytePairs:
     """The coder of a vocabulary file, loaded once per worker."""
-    if path not in _LOADED:
-        _LOADED[path] = BytePairs(path)
-    return _LOADED[path]
+    return kept("byte pairs", path, BytePairs)
 
 
 def encode(

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm import rolling
-from caseloom.llm.common import Memo, stage, text_or_empty
+from caseloom.llm.common import Memo, kept, stage, text_or_empty
 
 LENGTH = 2048
 BATCH = 64  # sequences in a record batch
@@ -196,14 +196,9 @@ class WordCoder:
         yield from self.encode_all(held)
 
 
-_CODERS: dict[str, WordCoder] = {}
-
-
 def coder(path: str) -> WordCoder:
     """The coder of a vocabulary file, loaded once per worker."""
-    if path not in _CODERS:
-        _CODERS[path] = WordCoder(path)
-    return _CODERS[path]
+    return kept("words", path, WordCoder)
 
 
 def _open(path: str):

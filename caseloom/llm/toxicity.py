@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import Memo, stage, text_or_empty
+from caseloom.llm.common import Memo, let_go, stage, text_or_empty
 
 SAMPLE = 20_000
 BUCKETS = 1 << 18
@@ -107,6 +107,7 @@ def training_rows(
 
 def _feature_rows(batches: Iterator[pa.RecordBatch], keep: np.ndarray | None) -> Iterator[tuple[np.ndarray, list]]:
     """Labels and features (ascending) of a few texts at a time: a text has thousands of features."""
+    let_go()
     memo = Memo(lambda many: (np.array(word_features(word), np.int32) for word in many), REMEMBERED // 4)
     seen = np.zeros(BUCKETS, bool)
     for part in (batch.slice(at, TEXTS) for batch in batches for at in range(0, batch.num_rows, TEXTS)):
@@ -224,6 +225,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
 
     @F.arrow_udf("double")
     def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         scorer = Model(*shared.value).scorer()
         for batch in batches:
             parts = [scorer(batch.slice(at, TEXTS).to_pylist()) for at in range(0, len(batch), TEXTS)]

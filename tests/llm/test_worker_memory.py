@@ -1,11 +1,13 @@
+import gc
 import random
 import tracemalloc
+import weakref
 
 import numpy as np
 import pyarrow as pa
 from public_tokenizers import path
 
-from caseloom.llm import seqfile, toxicity
+from caseloom.llm import bpe, seqfile, toxicity
 
 
 def peak_mb(work):
@@ -48,3 +50,19 @@ def test_features_are_found_a_few_texts_at_a_time():
     (label, (found,)), = toxicity._feature_rows(iter([batch.slice(0, 1)]), None)
     plain = sorted(set().union(*map(toxicity.word_features, toxicity.words(texts[0]))))
     assert found.tolist() == plain
+
+
+def test_a_worker_keeps_one_coder_and_none_beside_the_classifier():
+    files = path("byte_bpe_50k.json"), path("word_bpe_49k.json")
+    pairs = bpe.load(files[0])
+    assert bpe.load(files[0]) is pairs
+    gone = weakref.ref(pairs)
+    del pairs
+    words = seqfile.coder(files[1])
+    gc.collect()
+    assert gone() is None and seqfile.coder(files[1]) is words
+    gone = weakref.ref(words)
+    del words
+    list(toxicity._feature_rows(iter([]), None))
+    gc.collect()
+    assert gone() is None
