@@ -48,9 +48,14 @@ class BytePairs:
         letters = byte_letters()
         byte_of = {letter: b for b, letter in enumerate(letters)}
         self.single = [ids[letter] for letter in letters]
-        self.merges = {}
+        # Ranks of pairs by the left part and then the right one, and by rank the part made.
+        none: dict[int, int] = {}
+        self.ranks = [none] * (max(ids.values()) + 1)
         for rank, (left, right) in enumerate(model["merges"]):
-            self.merges[ids[left], ids[right]] = (rank, ids[left + right])
+            if self.ranks[ids[left]] is none:
+                self.ranks[ids[left]] = {}
+            self.ranks[ids[left]][ids[right]] = rank
+        self.made = [ids[left + right] for left, right in model["merges"]]
         self.bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in ids.items()}
         self.added = {}
         for token in data["added_tokens"]:
@@ -62,66 +67,70 @@ class BytePairs:
         held = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, held)) + ")").split if held else None
         self.memo = Memo(lambda words: map(self.word, words), REMEMBERED)
+        self.lengths = Memo(lambda words: [len(self.parts(word)) for word in words], REMEMBERED)
 
     def word(self, word: str) -> tuple[list[int], str]:
         """Ids of one pre-token, and the same joined by commas."""
-        parts = [self.single[b] for b in word.encode()]
-        ids = self._scan(parts) if len(parts) <= SHORT else self._heap(parts)
+        ids = self.parts(word)
         return ids, ",".join(map(str, ids))
 
-    def _rank(self, left: int, right: int) -> int:
-        found = self.merges.get((left, right))
-        return found[0] if found else NONE
+    def parts(self, word: str) -> list[int]:
+        """Ids of one pre-token."""
+        parts = [self.single[b] for b in word.encode()]
+        return self._scan(parts) if len(parts) <= SHORT else self._heap(parts)
 
     def _scan(self, parts: list[int]) -> list[int]:
-        merges, rank = self.merges, self._rank
-        ranks = [rank(a, b) for a, b in zip(parts, parts[1:], strict=False)]
+        made, after = self.made, self.ranks
+        ranks = [after[a].get(b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks:
             low = min(ranks)
             if low == NONE:
                 break
             i = ranks.index(low)
-            parts[i] = merges[parts[i], parts[i + 1]][1]
+            new = parts[i] = made[low]
             del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank(parts[i - 1], parts[i])
+                ranks[i - 1] = after[parts[i - 1]].get(new, NONE)
             if i < len(ranks):
-                ranks[i] = rank(parts[i], parts[i + 1])
+                ranks[i] = after[new].get(parts[i + 1], NONE)
         return parts
 
     def _heap(self, parts: list[int]) -> list[int]:
-        merges, n = self.merges, len(parts)
+        ranks, made, n = self.ranks, self.made, len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [
-            (*merges[pair], i, *pair)
-            for i, pair in enumerate(zip(parts, parts[1:], strict=False))
-            if pair in merges
+            (ranks[a][b], i, a, b)
+            for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))
+            if b in ranks[a]
         ]
         heapq.heapify(heap)
         while heap:
-            _, new, i, left, right = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             j = after[i]
             if parts[i] != left or j >= n or parts[j] != right:
                 continue  # one of the two was merged meanwhile
-            parts[i], parts[j] = new, -1
+            parts[i], parts[j] = made[rank], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for at in (before[i], i):
                 if at >= 0 and after[at] < n:
-                    pair = parts[at], parts[after[at]]
-                    if pair in merges:
-                        heapq.heappush(heap, (*merges[pair], at, *pair))
+                    a, b = parts[at], parts[after[at]]
+                    if b in ranks[a]:
+                        heapq.heappush(heap, (ranks[a][b], at, a, b))
         return [p for p in parts if p >= 0]
 
+    def _pieces(self, text: str) -> list[str]:
+        """The text, cut at the strings of added tokens."""
+        return self.cut(text) if self.cut and any(s in text for s in self.added) else [text]
+
     def encode_each(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """Ids of each text, and the same joined by commas.  The strings of added tokens
         are tokens of their own, as the tokenizers library has it."""
         for text in texts:
-            pieces = self.cut(text) if self.cut and any(s in text for s in self.added) else [text]
             ids: list[int] = []
             names: list[str] = []
-            for piece in pieces:
+            for piece in self._pieces(text):
                 if piece in self.added:
                     ids.append(self.added[piece])
                     names.append(str(self.added[piece]))
@@ -135,6 +144,15 @@ class BytePairs:
                         names.append(name)
             yield ids, ",".join(names)
 
+    def count_each(self, texts: list[str]) -> Iterator[int]:
+        """How many ids :meth:`encode_each` gives for each text.  Only the number of ids of a
+        word is remembered, and no ids are put together."""
+        length = self.lengths.__getitem__
+        for text in texts:
+            yield sum(
+                1 if piece in self.added else sum(map(length, self.words(piece))) for piece in self._pieces(text)
+            )
+
     def decode(self, ids: list[int]) -> str:
         """The text; special tokens are kept, broken UTF-8 becomes U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")

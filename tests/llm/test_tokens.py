@@ -50,6 +50,18 @@ def test_scan_and_heap_agree():
         assert own._scan(list(parts)) == own._heap(list(parts))
 
 
+def test_counts_are_those_of_the_library_and_build_no_ids(spark, documents, monkeypatch):
+    library = Tokenizer.from_file(BYTES)
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    own = bpe.BytePairs(BYTES)
+    own.word = own.encode_each = None  # ids of whole texts are not asked for
+    wanted = [len(library.encode(text, add_special_tokens=False).ids) for text in TEXTS]
+    assert list(own.count_each(TEXTS)) == wanted
+    assert len(own.memo) == 0 and len(own.lengths) <= 41
+    rows = token_counts.counted(documents(list(enumerate([*TEXTS, None]))), BYTES, "v1").collect()
+    assert [r.tokens for r in sorted(rows, key=lambda r: r.doc_id)] == [*wanted, 0]
+
+
 def test_broken_ids_decode_as_the_library():
     library, own = Tokenizer.from_file(BYTES), bpe.load(BYTES)
     for ids in ([162], [228, 50256, 162, 121], [162, 122], [50256]):
