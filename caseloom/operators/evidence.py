@@ -92,6 +92,30 @@ def supporting_transactions(
     return top_n(ids.join(copies, key, "left"), CASE_KEY, recent_first, n)
 
 
+def supporting_transactions_read(
+    alerts: DataFrame, transactions: DataFrame, n: int = SUPPORTING_TRANSACTIONS
+) -> DataFrame:
+    """:func:`supporting_transactions` from the transactions themselves, where no other frame needs
+    them under their cases.
+
+    A listed id names its transactions, so they are looked up by party and id, and the case's window
+    is a condition of that one join: what no alert lists is not put under cases first, and ids
+    and transactions are shuffled once for the join and the copies of an id.
+    """
+    place, ts, details = ["party_id", "txn_id"], "txn_timestamp_ms_utc", F.struct(*TRANSACTION_DETAILS).alias("details")
+    key = [*CASE_KEY, "txn_id"]
+    ids = alerts.select(*CASE_KEY, F.explode("supporting_txn_id_arr").alias("txn_id")).repartition(*place).distinct()
+    # The span of all windows lets the scan skip older files.
+    span = alerts.agg(F.min(CASE_KEY[1]).alias("first"), F.max(CASE_KEY[2]).alias("last")).first()
+    near = transactions.where(F.col(ts).between(F.lit(span["first"]), F.lit(span["last"])))
+    rows = near.select(F.col("party_id").alias("_party"), F.col("txn_id").alias("_txn"), ts, details)
+    inside = F.col(ts).between(F.col(CASE_KEY[1]), F.col(CASE_KEY[2]))
+    found = ids.join(rows, (F.col("party_id") == F.col("_party")) & (F.col("txn_id") == F.col("_txn")) & inside, "left")
+    recent_first = [F.col(ts).desc_nulls_last(), F.col("txn_id"), F.col("details").desc()]
+    copies = top_n(found.select(*key, ts, "details"), key, recent_first, n).drop("rank")
+    return top_n(copies, CASE_KEY, recent_first, n)
+
+
 def alert_pages(alerts: DataFrame, page: int = ALERT_PAGE) -> DataFrame:
     """Alert lists, latest first, in pages: page 0 goes into the packet, later ones
     beside it.

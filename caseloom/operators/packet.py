@@ -161,6 +161,10 @@ class CaseFrames:
 
     @cached_property
     def supporting_transactions(self) -> DataFrame:
+        if not self._staged and not self._by_day:
+            return E.supporting_transactions_read(
+                self.alerts_case, self._inputs["transactions"], self._limits.supporting_transactions
+            )
         found = self.listed_tx_case if self._by_day else self.tx_case
         return E.supporting_transactions(
             self.alerts_case, found, self._limits.supporting_transactions
