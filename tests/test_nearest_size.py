@@ -36,6 +36,18 @@ def test_items_are_read_beside_the_queries_however_many_blocks(spark, conf, monk
         assert got == {key: [(n + 1, i, s + 0.0) for n, (i, s) in enumerate(v)] for key, v in wanted.items()}
 
 
+def test_an_id_that_repeats_has_the_best_of_all_its_rows(spark):
+    rows = [("q", [1.0, 0.0]), ("q", [0.0, 1.0]), ("p", [1.0, 1.0]), (None, [1.0, 0.0]), (None, [1.0, 0.0])]
+    q = spark.createDataFrame(rows, "query_id string, vector array<double>")
+    i = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 3.0]), (3, [1.0, 0.2]), (1, [2.0, 0.0])], "item_id int, vector array<double>")
+    found = {}
+    for r in N.nearest(q, i, 3).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.item_id))
+    assert {key: sorted(v) for key, v in found.items()} == {
+        "q": [(1, 1), (2, 1), (3, 2)], "p": [(1, 3), (2, 1), (3, 1)], None: [(1, 1), (2, 1), (3, 1)],
+    }
+
+
 def test_rows_numbered_as_one_group_are_not_shuffled_again(spark, conf):
     conf(spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1")
     numbered = with_position(spark.range(50).repartition(3).withColumn("wide", F.lit("x")), [], [F.col("id").desc()])
